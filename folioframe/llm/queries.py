@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import ledger, tokenise
+from folioframe.llm import confusables, ledger, tokenise
 from folioframe.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and page ranges that hold characters a reader would not tell from the plain ones."""
+    return confusables.consistent(table(spark, sf_dir, "bib_entry")).filter("changed").select("entry_id", "field_key")
+
+
+def p3_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title and page range in its consistent form."""
+    return confusables.consistent(table(spark, sf_dir, "bib_entry")).select("entry_id", "field_key", "plain", "changed")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records that are one record in different formatting."""
     return ledger.duplicate_pairs(table(spark, sf_dir, "bib_entry"))
@@ -23,7 +33,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids}
+QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids}
 
 _KEY = (
     "coalesce('=' || lower(regexp_replace(nfc_normalize({c}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')), '0')"
