@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import confusables, ledger, tokenise
+from folioframe.llm import boilerplate, confusables, ledger, tokenise
 from folioframe.session import table
 
 
@@ -18,6 +18,11 @@ def p3_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.consistent(table(spark, sf_dir, "bib_entry")).select("entry_id", "field_key", "plain", "changed")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the main body of every web page."""
+    return boilerplate.main_body(boilerplate.web_pages(table(spark, sf_dir, "source_content"))).select("content_id", "line_no")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records that are one record in different formatting."""
     return ledger.duplicate_pairs(table(spark, sf_dir, "bib_entry"))
@@ -33,7 +38,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids}
+QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids}
 
 _KEY = (
     "coalesce('=' || lower(regexp_replace(nfc_normalize({c}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')), '0')"
