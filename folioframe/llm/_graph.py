@@ -1,0 +1,29 @@
+"""Connected components by joins: min-label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioframe.session import cut
+
+
+def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(node, comp) of every node in ``edges`` (a, b); ``comp`` is the least node of the component.
+
+    Each round takes the least label among the neighbours and then jumps to the label's own
+    label, so that chains shrink by half; the table is written to the shared checkpoint folder
+    between rounds. Only a count reaches the driver.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    for _ in range(max_rounds):
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("c"))
+        step = labels.join(near, "node").select("node", F.least("comp", "c").alias("comp"), F.col("comp").alias("old"))
+        root = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        new = cut(step.join(root, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old"))
+        changed = new.filter("comp <> old").limit(1).count()
+        labels = new.select("node", "comp")
+        if not changed:
+            return labels
+    return labels

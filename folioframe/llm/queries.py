@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import boilerplate, confusables, ledger, tokenise
+from folioframe.llm import boilerplate, confusables, ledger, names, tokenise
 from folioframe.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records led by one person or organisation whose name is written differently."""
+    return names.linked_records(table(spark, sf_dir, "bib_entry"), table(spark, sf_dir, "source_content"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and page ranges that hold characters a reader would not tell from the plain ones."""
     return confusables.consistent(table(spark, sf_dir, "bib_entry")).filter("changed").select("entry_id", "field_key")
@@ -38,7 +43,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_plain": p3_plain, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids}
 
 _KEY = (
     "coalesce('=' || lower(regexp_replace(nfc_normalize({c}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')), '0')"
