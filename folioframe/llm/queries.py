@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.llm import boilerplate, confusables, ledger, names, tokenise
+from folioframe.llm import boilerplate, confusables, ledger, linkage, names, tokenise
 from folioframe.session import table
 
 
@@ -23,6 +23,16 @@ def p3_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.consistent(table(spark, sf_dir, "bib_entry")).select("entry_id", "field_key", "plain", "changed")
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and works that are the same publication, with a confidence."""
+    return linkage.matches(spark, table(spark, sf_dir, "bib_entry"), table(spark, sf_dir, "catalogue_work"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of record and work that are the same publication."""
+    return p4_matches(spark, sf_dir).select("entry_id", "work_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the main body of every web page."""
     return boilerplate.main_body(boilerplate.web_pages(table(spark, sf_dir, "source_content"))).select("content_id", "line_no")
@@ -43,7 +53,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_plain": p3_plain, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_plain": p3_plain, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids}
 
 _KEY = (
     "coalesce('=' || lower(regexp_replace(nfc_normalize({c}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')), '0')"
