@@ -49,9 +49,17 @@ def _lit(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_EDGE = _lit(" \t\n\r,;|\"{}")
+
+
+def _edges(expr: str) -> str:
+    """Without white space, stray delimiters or quotes at the ends."""
+    return f"trim(BOTH {_EDGE} FROM {expr})"
+
+
 def _clean(expr: str) -> str:
-    """Trim white space and stray delimiters or quotes, and make each white-space run one space."""
-    return f"regexp_replace(regexp_replace({expr}, {_lit(r'(?U)\s+')}, ' '), {_lit(r'^[\s,;|\"{}]+|[\s,;|\"{}]+$')}, '')"
+    """The final form of an item: each white-space run is one space, and clean edges."""
+    return _edges(f"regexp_replace({expr}, {_lit(r'(?U)\s+')}, ' ')")
 
 
 def _restore(expr: str) -> str:
@@ -68,7 +76,7 @@ def _name_segment(seg: str) -> str:
     initials = rf"(?i)^(?:\p{{L}}{{1,2}}\.[\s-]*)+(?:{_PARTICLE})?$"
     short_given = r"^\S+(?:\s+\S+)?$"
     org = rf"(?i)\b{ORG_KIND}(?:\s+{_PREP}\s|\s*$)|(?i)\b{_PREP}\s+\("
-    commas = f"filter(transform(split({seg}, ','), x -> trim({_clean('x')})), x -> x != '')"
+    commas = f"filter(transform(split({seg}, ','), x -> {_edges('x')}), x -> x != '')"
     pairs = "transform(sequence(0, size(c) - 2, 2), i -> concat(c[i], ', ', c[i + 1]))"
     odd = "filter(c, (x, i) -> i % 2 = 1)"
     even = "filter(c, (x, i) -> i % 2 = 0)"
@@ -100,15 +108,17 @@ def packed_items(col: str, kind: str = NAMES) -> Column:
         f"IF(i % 2 = 1, concat('{_OPEN}', CAST(i AS STRING), '{_CLOSE}'), x)), ''))"
     )
     if kind == NAMES:
-        body = f"regexp_replace(m, {_lit(_ETAL)}, '')"
-        # lines and tabs are white space next to "and", delimiters elsewhere
-        body = f"regexp_replace({body}, {_lit(r'(?i)\s+(and|&)\s+')}, ' $1 ')"
-        body = f"regexp_replace({body}, {_lit(r'(?i),\s*(and|&)\s+(?=\S)')}, ' $1 ')"
+        # each of the costly patterns runs only where a cheap one says that it may apply
+        body = f"IF(m RLIKE {_lit(r'(?i)(?:al|others|andere|autres|otros|u\.\s?a)\b\.?[\s;,.|]*$')}, regexp_replace(m, {_lit(_ETAL)}, ''), m)"
+        # lines and tabs are white space next to "and", delimiters elsewhere; ", and" is "and"
+        body = f"regexp_replace({body}, {_lit(r'(?i),?\s+(and|&)\s+|,(and|&)\s+(?=\S)')}, ' $1$2 ')"
+        protected = "b"
         for pattern in _PROTECT:
-            body = f"regexp_replace({body}, {_lit(pattern)}, '$1{_AND}$2{_AND}')"
-        hard = f"split({body}, {_lit(r'(?i)[;|\n\r]+|/|\s(?:and|&)\s')})"
-        back = f"regexp_replace(regexp_replace(x, '{_AND}&{_AND}', ' & '), '{_AND}+', ' and ')"
-        segs = f"filter(transform({hard}, x -> trim({_clean(back)})), x -> x != '')"
+            protected = f"regexp_replace({protected}, {_lit(pattern)}, '$1{_AND}$2{_AND}')"
+        body = f"element_at(transform(array({body}), b -> IF(b RLIKE {_lit(rf'(?i){ORG_KIND}[\s,)]')}, {protected}, b)), 1)"
+        hard = f"split({body}, {_lit(r'(?i)[;|\n\r/]+|\s(?:and|&)\s')})"
+        back = f"replace(replace(x, '{_AND}&{_AND}', ' & '), '{_AND}{_AND}', ' and ')"
+        segs = f"filter(transform({hard}, x -> {_edges(back)}), x -> x != '')"
         quoted_list = f"transform(split(x, {_lit(f'(?<={_CLOSE})\\s*,\\s*|\\s*,\\s*(?={_OPEN})|(?<={_CLOSE})\\s+(?={_OPEN})')}), y -> y)"
         # "Last, First" elsewhere in the field: a comma in another segment is read likewise
         seen = rf"(?i)^(?:{_PARTICLE}\s+)*[^\s,]+,[^,]+$"
@@ -126,14 +136,20 @@ def packed_items(col: str, kind: str = NAMES) -> Column:
             f"WHEN {body} RLIKE {_lit(r'\s/\s')} THEN split({body}, {_lit(r'\s/\s')}) "
             f"ELSE split({body}, {_lit(r',(?!\s*\d{3,4}\s*(?:$|,))')}) END"
         )
-        items = f"filter(transform({strong}, x -> trim({_clean('x')})), x -> x != '')"
-    items = f"filter(transform({items}, x -> trim({_clean(_restore('x'))})), x -> x != '')"
+        items = f"filter(transform({strong}, x -> {_edges('x')}), x -> x != '')"
+    items = f"filter(transform({items}, x -> {_clean(_restore('x'))}), x -> x != '')"
     # one struct per stage, so that each stage is evaluated once per row
-    sql = (
-        f"IF({col} IS NULL, NULL, flatten(transform(array(named_struct('pieces', {pieces})), pq -> "
-        f"flatten(transform(transform(array(pq), p -> {masked}), m -> {items})))))"
+    full = (
+        f"flatten(transform(array(named_struct('pieces', {pieces})), pq -> "
+        f"flatten(transform(transform(array(pq), p -> {masked}), m -> {items}))))"
     )
-    return F.expr(sql)
+    if kind == NAMES:  # the most frequent form, "Last, First and Last, First", needs none of this
+        plain = (
+            f"{col} NOT RLIKE {_lit('[;|/&\"{}\n\r]|\'|et al')} AND "
+            f"forall(split({col}, ' and '), x -> x RLIKE {_lit(r'^\s*[^\s,]+,[^,]*[^,\s][^,]*$')})"
+        )
+        full = f"IF({plain}, transform(split({col}, ' and '), x -> {_clean('x')}), {full})"
+    return F.expr(f"IF({col} IS NULL, NULL, {full})")
 
 
 def split_packed(df: DataFrame, value: str, kind: str = NAMES, pos: str = "item_pos", item: str = "item", at_least: int = 1) -> DataFrame:
