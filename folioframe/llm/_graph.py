@@ -15,11 +15,13 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     label, so that chains shrink by half; the table is written to the shared checkpoint folder
     between rounds. Only a count reaches the driver.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = cut(edges.select(ends).select("e.a", "e.b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")))
+    both = both.filter("a <> b")  # a node without neighbours keeps its label
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("c"))
-        step = labels.join(near, "node").select("node", F.least("comp", "c").alias("comp"), F.col("comp").alias("old"))
+        step = labels.join(near, "node", "left").select("node", F.least("comp", "c").alias("comp"), F.col("comp").alias("old"))
         root = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = cut(step.join(root, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old"))
         changed = new.filter("comp <> old").limit(1).count()

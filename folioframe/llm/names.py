@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,8 @@ LONG, EDITS = 7, 2
 #: A rarer given name within reach of one this many times as frequent is a misspelling of it.
 RATIO = 8
 PAIR_BLOCK = 256
+#: Letters at the beginning of a token that the delete index covers.
+INDEXED = 8
 
 PARTICLES = frozenset("de la di da du del della van von der den zu ter le les dos das af av".split())
 # Short forms and the given names they stand for.
@@ -112,8 +115,12 @@ def reach(token: str) -> int:
 
 
 def deletes(token: str) -> list[str]:
-    """The token and all forms of it with up to ``reach`` letters deleted."""
-    out = level = {token}
+    """The token's beginning and all forms of it with up to ``reach`` letters deleted.
+
+    Two tokens within reach share a form of their beginnings, so the index needs no more of a
+    long token; what else shares a form is dropped by the comparison of the whole tokens.
+    """
+    out = level = {token[:INDEXED]}
     for _ in range(reach(token)):
         level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
         out = out | level
@@ -247,9 +254,9 @@ def _parsed_person(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kind": [r[0] for r in rows], "family": [r[1] for r in rows], "words": [r[2] for r in rows]})
 
 
-@F.pandas_udf(_STRINGS)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _deletes(tokens: pd.Series) -> pd.Series:
-    return tokens.map(deletes)
+    return tokens.map(lambda t: [zlib.crc32(d.encode()) - 0x80000000 for d in deletes(t)])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -263,23 +270,23 @@ def _compatible(fa: pd.Series, ga: pd.Series, fb: pd.Series, gb: pd.Series) -> p
 
 
 def neighbours(tokens: DataFrame) -> DataFrame:
-    """(x, y, d) of the distinct tokens in column ``t`` within reach of each other, both ways, itself included."""
+    """(x, y, d) of the distinct tokens in column ``t`` within reach of each other, both ways, itself included.
+
+    Forms are compared by a 32-bit hash; forms that only one token has, most of them, are dropped
+    before the self-join, which uses the same partitioning.
+    """
     keys = tokens.select("t", F.explode(_deletes("t")).alias("k"))
-    pairs = keys.alias("p").join(keys.select(F.col("t").alias("u"), "k"), "k").filter("t < u").select("t", "u").distinct()
-    near = cut(pairs.withColumn("d", _edits("t", "u")).filter("d < 9"))
-    return (
-        near.select(F.col("t").alias("x"), F.col("u").alias("y"), "d")
-        .unionByName(near.select(F.col("u").alias("x"), F.col("t").alias("y"), "d"))
-        .unionByName(tokens.select(F.col("t").alias("x"), F.col("t").alias("y"), F.lit(0).alias("d")))
-    )
+    keys = keys.withColumn("c", F.count("*").over(Window.partitionBy("k"))).filter("c > 1").drop("c")
+    pairs = keys.join(keys.select(F.col("t").alias("u"), "k"), "k").filter("t < u AND levenshtein(t, u, 4) >= 0").select("t", "u").distinct()
+    near = pairs.withColumn("d", _edits("t", "u")).filter("d < 9")
+    both = near.select(F.explode(F.array(F.struct(F.col("t").alias("x"), F.col("u").alias("y")), F.struct(F.col("u").alias("x"), F.col("t").alias("y")))).alias("p"), "d").select("p.x", "p.y", "d")
+    return both.unionByName(tokens.select(F.col("t").alias("x"), F.col("t").alias("y"), F.lit(0).alias("d")))
 
 
-def hubs(counted: DataFrame, ratio: int = RATIO) -> DataFrame:
-    """(t, hub): the most frequent token within reach that is ``ratio`` times as frequent, or the token itself."""
-    n = neighbours(counted.select("t"))
-    c = n.join(counted.select(F.col("t").alias("x"), F.col("n").alias("nx")), "x").join(counted.select(F.col("t").alias("y"), F.col("n").alias("ny")), "y")
-    c = c.filter((F.col("x") == F.col("y")) | (F.col("ny") >= ratio * F.col("nx")))
-    return c.groupBy(F.col("x").alias("t")).agg(F.max_by("y", F.struct("ny", "y")).alias("hub"))
+def hubs(counted: DataFrame, near: DataFrame, ratio: int = RATIO) -> DataFrame:
+    """(t, hub) of the tokens in ``counted`` (t, n) with a neighbour ``ratio`` times as frequent: the most frequent such."""
+    c = near.filter("x <> y").join(counted.select(F.col("t").alias("x"), F.col("n").alias("nx")), "x").join(counted.select(F.col("t").alias("y"), F.col("n").alias("ny")), "y")
+    return c.filter(F.col("ny") >= ratio * F.col("nx")).groupBy(F.col("x").alias("t")).agg(F.max_by("y", F.struct("ny", "y")).alias("hub"))
 
 
 def first_names(bib_entry: DataFrame, source_content: DataFrame) -> DataFrame:
@@ -293,78 +300,63 @@ def first_names(bib_entry: DataFrame, source_content: DataFrame) -> DataFrame:
     return named.select("record_id", "name", "letters")
 
 
-def person_entities(parsed: DataFrame) -> DataFrame:
-    """(name, entity) of the spellings of people."""
-    people = parsed.filter("kind = 'person'")
+def person_entities(people: DataFrame, near: DataFrame) -> DataFrame:
+    """(name, entity) of the spellings of people (name, n, family, words)."""
     given = people.select(F.explode("words").alias("t"), "n").filter("length(t) > 2").groupBy("t").agg(F.sum("n").alias("n"))
-    hub = cut(hubs(given))
+    hub = hubs(given, near)
     # replace misspelt given names by the frequent ones: through the exploded positions, then folded again
     words = (
-        people.select("name", F.posexplode_outer("words").alias("i", "t"))
+        people.select("name", "family", F.posexplode_outer("words").alias("i", "t"))
         .join(hub, "t", "left")
-        .groupBy("name")
+        .groupBy("name", "family")
         .agg(F.sort_array(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("i", F.coalesce("hub", "t").alias("w"))))).alias("ws"))
-        .select("name", F.col("ws.w").alias("given"))
+        .select("name", "family", F.col("ws.w").alias("given"))
     )
-    people = people.join(words, "name")
-    # a spelling without comma may put the family name first: a frequent given name in its place tells
-    often = given.groupBy().agg(F.sum("n").alias("all"))
-    common = given.join(hub, "t").groupBy(F.col("hub").alias("family")).agg(F.sum("n").alias("c")).crossJoin(F.broadcast(often)).filter("c >= 20 AND c >= all / 5000").select("family", F.lit(True).alias("is_given"))
-    known = common.select(F.col("family").alias("g0"), F.lit(True).alias("g_given"))
-    people = people.withColumn("g0", F.get("given", F.lit(0))).join(common, "family", "left").join(known, "g0", "left")
-    swap = F.col("is_given").isNotNull() & F.col("g_given").isNull() & (~F.col("name").contains(",")) & (F.length("g0") > 3)
-    rest = F.slice("given", 2, 20)
-    people = people.select(
-        "name", F.when(swap, F.col("g0")).otherwise(F.col("family")).alias("family"), F.when(swap, F.concat(F.array("family"), rest)).otherwise(F.col("given")).alias("given")
+    # a spelling without comma may put the family name first: a frequent given name in its place tells;
+    # given names with a share of 1 in 5,000 are at most 5,000
+    total = given.agg(F.sum("n").alias("n")).first().n or 0
+    common = [r.t for r in given.filter(F.col("n") >= max(20, total / 5000)).select("t").collect()]
+    g0 = F.get("given", F.lit(0))
+    swap = F.col("family").isin(common) & ~g0.isin(common) & ~F.col("name").contains(",") & (F.length(g0) > 3)
+    people = words.select(
+        "name", F.when(swap, g0).otherwise(F.col("family")).alias("family"), F.when(swap, F.concat(F.array("family"), F.slice("given", 2, 20))).otherwise(F.col("given")).alias("given")
     )
     sig = F.concat_ws(" ", F.col("family"), F.lit("|"), F.concat_ws(" ", "given"))
     people = cut(people.withColumn("sig", sig))
-    sigs = people.select("sig", "family", "given").distinct().withColumn("g0", F.coalesce(F.get("given", F.lit(0)), F.lit("")))
-    near = cut(neighbours(sigs.select(F.col("family").alias("t")).distinct()))
-    full = sigs.filter("length(g0) > 1")
-
-    def linked(x: DataFrame, y: DataFrame) -> DataFrame:
-        one = x.select(F.col("sig").alias("a"), F.col("family").alias("x"), F.col("given").alias("ga"), "g0")
-        two = y.select(F.col("sig").alias("b"), F.col("family").alias("y"), F.col("given").alias("gb"), "g0")
-        return one.join(near, "x").join(two, ["y", "g0"]).filter("a <> b").filter(_compatible("x", "ga", "y", "gb")).select("a", "b", "d")
-
-    def grouped(x: DataFrame) -> DataFrame:
-        loops = x.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
-        return cut(components(linked(x, x).filter("a < b").select("a", "b").unionByName(loops)))
-
+    g0 = F.coalesce(F.get("given", F.lit(0)), F.lit(""))
+    kind = F.when(F.length(g0) < 2, 0).when(F.size("given") == 1, 1).otherwise(2)  # initials, given name, with a middle name
+    sigs = people.select("sig", "family", "given").distinct().select("sig", "family", "given", g0.alias("g0"), kind.alias("k"))
+    # spellings with initials meet all with that initial, full ones only those with the same given name
+    initial = F.concat(F.lit("."), F.substring("g0", 1, 1))
+    one = sigs.select(F.col("sig").alias("a"), F.col("family").alias("x"), F.col("given").alias("ga"), F.col("k").alias("ka"), F.when(F.col("k") == 0, initial).otherwise(F.col("g0")).alias("g"))
+    two = sigs.select(F.col("sig").alias("b"), F.col("family").alias("y"), F.col("given").alias("gb"), F.col("k").alias("kb"), F.explode(F.array_distinct(F.when(F.col("k") == 0, F.array(initial)).otherwise(F.array(initial, "g0")))).alias("g"))
+    pairs = one.join(near, "x").join(two, ["y", "g"]).filter("a <> b").filter(_compatible("x", "ga", "y", "gb"))
+    cand = cut(pairs.select("a", "b", "d", "ka", "kb"))
     # namesakes differ in the middle name only, so spellings with and without one are grouped apart;
     # the group without joins the one group with a middle name that it fits, and none of several
-    plain, middle = full.filter("size(given) = 1"), full.filter("size(given) > 1")
-    of_plain, of_middle = grouped(plain), grouped(middle)
-    fits = linked(plain, middle).join(of_plain.select(F.col("node").alias("a"), F.col("comp").alias("cp")), "a").join(of_middle.select(F.col("node").alias("b"), F.col("comp").alias("cm")), "b")
-    fits = fits.groupBy("cp").agg(F.countDistinct("cm").alias("k"), F.min("cm").alias("cm")).filter("k = 1").select(F.col("cp").alias("comp"), "cm")
-    comp = cut(of_plain.join(fits, "comp", "left").select("node", F.coalesce("cm", "comp").alias("comp")).unionByName(of_middle))
-    # initials only: the one compatible entity, or the other spellings of the same initials
-    short = sigs.filter("length(g0) = 1")
-    s = short.select(F.col("sig").alias("a"), F.col("family").alias("x"), F.col("given").alias("ga"), "g0")
-    t = full.join(comp.withColumnRenamed("node", "sig"), "sig").select("comp", F.col("family").alias("y"), F.col("given").alias("gb"), F.substring("g0", 1, 1).alias("g0"))
-    cand = s.join(near, "x").join(t, ["y", "g0"]).filter(_compatible("x", "ga", "y", "gb"))
-    best = cand.groupBy("a", "comp").agg(F.min("d").alias("d"))
-    one = best.join(best.groupBy("a").agg(F.min("d").alias("d")), ["a", "d"]).groupBy("a").agg(F.count("*").alias("k"), F.min("comp").alias("comp")).filter("k = 1")
-    placed = one.select(F.col("a").alias("sig"), "comp")
-    lone = cut(short.join(placed.select("sig"), "sig", "left_anti").join(best.select(F.col("a").alias("sig")).distinct(), "sig", "left_anti"))
-    l1 = lone.select(F.col("sig").alias("a"), F.col("family").alias("x"), F.col("given").alias("ga"), "g0")
-    l2 = lone.select(F.col("sig").alias("b"), F.col("family").alias("y"), F.col("given").alias("gb"), "g0")
-    le = l1.join(near, "x").join(l2, ["y", "g0"]).filter("a <= b AND d <= 1").filter(_compatible("x", "ga", "y", "gb")).select("a", "b")
-    # spellings with initials that fit several entities: only with the same initials written otherwise
-    several = best.join(one.select("a"), "a", "left_anti").select(F.col("a").alias("sig")).distinct().select("sig", F.concat(F.lit("?"), F.col("sig")).alias("comp"))
-    alone = components(le).select(F.col("node").alias("sig"), F.concat(F.lit("~"), F.col("comp")).alias("comp"))
-    all_comp = comp.withColumnRenamed("node", "sig").unionByName(placed).unionByName(alone).unionByName(several)
-    return people.join(all_comp, "sig").select("name", F.concat(F.lit("p:"), F.col("comp")).alias("entity"))
-
-
-def organisation_entities(parsed: DataFrame) -> DataFrame:
+    loops = sigs.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
+    comp = components(cand.filter("ka = kb AND a < b AND (ka > 0 OR d <= 1)").select("a", "b").unionByName(loops))
+    of_a, of_b = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    cand = cand.filter("ka < kb").join(of_a, "a").join(of_b, "b")
+    fits = cand.filter("ka = 1").groupBy("ca").agg(F.countDistinct("cb").alias("c"), F.min("cb").alias("cm")).filter("c = 1").select(F.col("ca").alias("cb"), "cm")
+    # initials only: the one entity they fit best, or only the other spellings of the same initials
+    best = cand.filter("ka = 0").join(fits, "cb", "left").groupBy("a", F.coalesce("cm", "cb").alias("c")).agg(F.min("d").alias("d"))
+    nearest = best.groupBy("a").agg(F.min_by(F.struct("d", "c"), F.struct("d", "c")).alias("m"), F.collect_set("d").alias("ds"), F.sort_array(F.collect_list("d")).alias("all"))
+    placed = nearest.select(F.col("a").alias("node"), F.when((F.size("all") == 1) | (F.col("all")[1] > F.col("all")[0]), F.col("m.c")).alias("place"), F.lit(True).alias("fits_some"))
+    final = (
+        comp.join(fits.withColumnRenamed("cb", "comp"), "comp", "left").join(placed, "node", "left")
+        .select(F.col("node").alias("sig"), F.coalesce("place", F.when(F.col("fits_some"), F.concat(F.lit("?"), "node")), "cm", "comp").alias("comp"))
+    )
+    return people.join(final, "sig").select("name", F.concat(F.lit("p:"), F.col("comp")).alias("entity"))
+
+
+def organisation_entities(parsed: DataFrame, near: DataFrame) -> DataFrame:
     """(name, entity) of the spellings of organisations: the sorted words, misspelt words replaced."""
     orgs = parsed.filter("kind IN ('org', 'short')")
     words = orgs.select("name", "kind", F.col("family").alias("letters"), "n", F.posexplode("words").alias("i", "t"))
     counted = words.groupBy("t").agg(F.sum("n").alias("n"))
-    hub = cut(hubs(counted, 2))
-    fixed = words.join(hub, "t", "left").withColumn("w", F.coalesce("hub", "t"))
+    hub = hubs(counted, near, 2)
+    fixed = cut(words.join(hub, "t", "left").withColumn("w", F.coalesce("hub", "t")))
     # a word that is the beginning of a frequent longer one is its abbreviation
     vocabulary = fixed.groupBy("w").agg(F.sum("n").alias("c"))
     longer = vocabulary.select(F.col("w").alias("v"), "c", F.substring("w", 1, 3).alias("p"))
@@ -389,10 +381,13 @@ def entities(names: DataFrame) -> DataFrame:
     """(name, entity) of every distinct spelling in ``names`` (record_id, name, letters)."""
     distinct = names.groupBy("name").agg(F.count("*").alias("n"))
     parsed = cut(distinct.withColumn("q", _parsed("name")).select("name", "n", "q.kind", "q.family", "q.words"))
-    orgs = cut(organisation_entities(parsed))
+    tokens = parsed.select(F.explode(F.array_append("words", F.col("family"))).alias("t")).filter("length(t) > 2").distinct()
+    near = cut(neighbours(tokens))
+    orgs = cut(organisation_entities(parsed, near))
     # an acronym of no organisation stands for a person's initials
-    rest = parsed.filter("kind = 'short'").join(orgs, "name", "left_anti").withColumn("q", _parsed_person("name")).select("name", "n", "q.kind", "q.family", "q.words")
-    return person_entities(cut(parsed.filter("kind = 'person'").unionByName(rest))).unionByName(orgs)
+    rest = parsed.filter("kind = 'short'").join(orgs, "name", "left_anti").withColumn("q", _parsed_person("name")).select("name", "n", "q.family", "q.words")
+    people = parsed.filter("kind = 'person'").select("name", "n", "family", "words").unionByName(rest)
+    return person_entities(people, near).unionByName(orgs)
 
 
 def linked_records(bib_entry: DataFrame, source_content: DataFrame) -> DataFrame:
