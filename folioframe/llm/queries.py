@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioframe.llm import boilerplate, confusables, ledger, linkage, names, tokenise
+from folioframe.llm import boilerplate, confusables, ledger, linkage, names, packing, subjects, tokenise
 from folioframe.session import table
 
 
@@ -53,7 +54,29 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_plain": p3_plain, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids}
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a container of each specification."""
+    return packing.containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of the space that is used."""
+    return packing.fill(p8_containers(spark, sf_dir), table(spark, sf_dir, "pack_spec"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject areas of the documents for which none are given."""
+    return subjects.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_sample"))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Make-up of the corpus by subject area and source: documents and characters."""
+    areas = p9_found(spark, sf_dir).unionByName(table(spark, sf_dir, "subject_sample").select("doc_id", "subject_code"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return areas.join(documents, "doc_id").groupBy("subject_code", "source").agg(F.count("*").alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_plain": p3_plain, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _KEY = (
     "coalesce('=' || lower(regexp_replace(nfc_normalize({c}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')), '0')"
