@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioframe.llm._graph import components
-from folioframe.llm.ledger import letters_digits
 from folioframe.operators.packed import NAMES, ORG_KIND, packed_items
 from folioframe.session import cut
 
@@ -242,10 +241,15 @@ def compatible(fa: str, ga: list[str], fb: str, gb: list[str]) -> bool:
 _STRINGS = T.ArrayType(T.StringType())
 
 
-@F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("family", T.StringType()), T.StructField("words", _STRINGS)]))
+def letters_of(name: str) -> str:
+    """Letters and digits of a name in their order, lower case; accents are part of the letter."""
+    return "".join(c for c in unicodedata.normalize("NFC", name).lower() if c.isalnum() or unicodedata.category(c)[0] == "M")
+
+
+@F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("family", T.StringType()), T.StructField("words", _STRINGS), T.StructField("letters", T.StringType())]))
 def _parsed(names: pd.Series) -> pd.DataFrame:
     rows = [parse(n) if n else ("", "", []) for n in names]
-    return pd.DataFrame({"kind": [r[0] for r in rows], "family": [r[1] for r in rows], "words": [r[2] for r in rows]})
+    return pd.DataFrame({"kind": [r[0] for r in rows], "family": [r[1] for r in rows], "words": [r[2] for r in rows], "letters": [letters_of(n) for n in names]})
 
 
 @F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("family", T.StringType()), T.StructField("words", _STRINGS)]))
@@ -264,6 +268,10 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_near(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+#: Not to be moved below the aggregation that makes the pairs distinct.
+_edits = _edits.asNondeterministic()
+
+
 @F.pandas_udf(T.BooleanType())
 def _compatible(fa: pd.Series, ga: pd.Series, fb: pd.Series, gb: pd.Series) -> pd.Series:
     return pd.Series([compatible(a, list(b), c, list(d)) for a, b, c, d in zip(fa, ga, fb, gb)], dtype=bool)
@@ -277,7 +285,10 @@ def neighbours(tokens: DataFrame) -> DataFrame:
     """
     keys = tokens.select("t", F.explode(_deletes("t")).alias("k"))
     keys = keys.withColumn("c", F.count("*").over(Window.partitionBy("k"))).filter("c > 1").drop("c")
-    pairs = keys.join(keys.select(F.col("t").alias("u"), "k"), "k").filter("t < u AND levenshtein(t, u, 4) >= 0").select("t", "u").distinct()
+    # two edits with swaps are at most four without; more than two only with nearly the same letters
+    may = """t < u AND abs(length(t) - length(u)) <= 2 AND CASE levenshtein(t, u, 4) WHEN -1 THEN false WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true
+        ELSE size(array_except(split(t, ''), split(u, ''))) <= 1 AND size(array_except(split(u, ''), split(t, ''))) <= 1 END"""
+    pairs = keys.join(keys.select(F.col("t").alias("u"), "k"), "k").filter(may).select("t", "u").distinct()
     near = pairs.withColumn("d", _edits("t", "u")).filter("d < 9")
     both = near.select(F.explode(F.array(F.struct(F.col("t").alias("x"), F.col("u").alias("y")), F.struct(F.col("u").alias("x"), F.col("t").alias("y")))).alias("p"), "d").select("p.x", "p.y", "d")
     return both.unionByName(tokens.select(F.col("t").alias("x"), F.col("t").alias("y"), F.lit(0).alias("d")))
@@ -290,14 +301,12 @@ def hubs(counted: DataFrame, near: DataFrame, ratio: int = RATIO) -> DataFrame:
 
 
 def first_names(bib_entry: DataFrame, source_content: DataFrame) -> DataFrame:
-    """(record_id, name, letters): the first-named author of every record that has one."""
+    """(record_id, name): the first-named author of every record that has one."""
     rows = bib_entry.select(F.col("entry_id").alias("record_id"), F.col("author").alias("value")).unionByName(
         source_content.select(F.col("content_id").alias("record_id"), F.col("metadata")["Author"].alias("value"))
     )
-    # first the distinct fields, so that a repeated author field is split once per task
-    named = rows.filter("value IS NOT NULL").withColumn("name", F.get(packed_items("value", NAMES), F.lit(0)))
-    named = named.filter("name IS NOT NULL").withColumn("letters", letters_digits(F.col("name"))).filter("letters <> ''")
-    return named.select("record_id", "name", "letters")
+    named = rows.filter("value IS NOT NULL").select("record_id", F.get(packed_items("value", NAMES), F.lit(0)).alias("name"))
+    return named.filter("name IS NOT NULL")
 
 
 def person_entities(people: DataFrame, near: DataFrame) -> DataFrame:
@@ -378,16 +387,16 @@ def organisation_entities(parsed: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def entities(names: DataFrame) -> DataFrame:
-    """(name, entity) of every distinct spelling in ``names`` (record_id, name, letters)."""
+    """(name, entity, letters) of every distinct spelling in ``names`` (record_id, name)."""
     distinct = names.groupBy("name").agg(F.count("*").alias("n"))
-    parsed = cut(distinct.withColumn("q", _parsed("name")).select("name", "n", "q.kind", "q.family", "q.words"))
+    parsed = cut(distinct.withColumn("q", _parsed("name")).select("name", "n", "q.kind", "q.family", "q.words", "q.letters").filter("letters <> ''"))
     tokens = parsed.select(F.explode(F.array_append("words", F.col("family"))).alias("t")).filter("length(t) > 2").distinct()
     near = cut(neighbours(tokens))
     orgs = cut(organisation_entities(parsed, near))
     # an acronym of no organisation stands for a person's initials
     rest = parsed.filter("kind = 'short'").join(orgs, "name", "left_anti").withColumn("q", _parsed_person("name")).select("name", "n", "q.family", "q.words")
     people = parsed.filter("kind = 'person'").select("name", "n", "family", "words").unionByName(rest)
-    return person_entities(people, near).unionByName(orgs)
+    return person_entities(people, near).unionByName(orgs).join(parsed.select("name", "letters"), "name")
 
 
 def linked_records(bib_entry: DataFrame, source_content: DataFrame) -> DataFrame:
