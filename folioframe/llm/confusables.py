@@ -58,7 +58,7 @@ def _table() -> dict[str, dict[str, str]]:
 _TO = _table()
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=4096)
 def script_set(ch: str) -> frozenset[str] | None:
     """Scripts of a letter (augmented for Han and the kana); None for common and inherited characters."""
     if not unicodedata.category(ch).startswith("L"):
@@ -76,7 +76,7 @@ def script_set(ch: str) -> frozenset[str] | None:
     return frozenset((first,))
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=4096)
 def plain_char(ch: str) -> str:
     """Plain form of one character outside the question of alphabets."""
     if ch in "\n\r\t" or " " <= ch <= "~":
