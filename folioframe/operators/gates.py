@@ -53,8 +53,10 @@ def newly_swallowed(before: DataFrame, after: DataFrame) -> DataFrame:
 def doubled_commas(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Entries with two commas and nothing between them outside of values."""
     e = scanned.filter("kind = 'entry'").join(docs, "doc")
-    heads = F.transform("fields", lambda x: F.substring(F.col("text"), x["start"], x["vstart"] - x["start"]))
-    return e.filter(F.exists(heads, lambda h: h.rlike(r"^,\s*,"))).select("doc", "ord", "citekey")
+    ends = F.transform("fields", lambda x: x["end"])
+    gaps = F.transform("fields", lambda x, i: F.substring("text", F.coalesce(F.get(ends, i - 1), F.col("start")) + 1, x["start"] - F.coalesce(F.get(ends, i - 1), F.col("start"))))
+    tail = F.substring("text", F.coalesce(F.get(ends, F.size(ends) - 1), F.col("end")) + 1, F.lit(64))
+    return e.filter(F.exists(gaps, lambda g: g.rlike(r",\s*,$")) | tail.rlike(r"^,\s*,")).select("doc", "ord", "citekey")
 
 
 def length_law(docs_before: DataFrame, docs_after: DataFrame, edits: DataFrame) -> DataFrame:
