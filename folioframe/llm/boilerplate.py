@@ -91,6 +91,7 @@ class _Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.text: dict[int, list[str]] = {}
         self.tags: dict[int, int] = {}
+        self.chromed: set[int] = set()
         self.skip = self.chrome = 0
 
     def _tag(self, n: int = 1) -> None:
@@ -118,18 +119,18 @@ class _Events(HTMLParser):
             if piece.strip():
                 self.text.setdefault(first + i, []).append(piece)
                 if self.chrome:
-                    self.tags[first + i] = self.tags.get(first + i, 0) + 4
+                    self.chromed.add(first + i)
 
 
-def lines_and_tags(text: str) -> list[tuple[str, int]]:
-    """(text, tags) of every line, in order; lines are pieces between line feeds."""
+def lines_and_tags(text: str) -> list[tuple[str, int, bool]]:
+    """(text, tags, in page chrome) of every line, in order; lines are pieces between line feeds."""
     raw = text.split("\n")
     if not _MARKUP.search(text):
-        return [(line, 0) for line in raw]
+        return [(line, 0, False) for line in raw]
     p = _Events()
     p.feed(text)
     p.close()
-    return [(" ".join(p.text.get(i + 1, [])), p.tags.get(i + 1, 0)) for i in range(len(raw))]
+    return [(" ".join(p.text.get(i + 1, [])), p.tags.get(i + 1, 0), i + 1 in p.chromed) for i in range(len(raw))]
 
 
 def _menu_only(line: str) -> bool:
@@ -172,10 +173,11 @@ def body_lines(text: str | None, title: str | None = None, shared: frozenset[str
     """Numbers of the lines of the main body."""
     if not text:
         return []
-    lines = [(i + 1, t.strip(), tags) for i, (t, tags) in enumerate(lines_and_tags(text)) if t.strip()]
-    if not lines:
+    parsed = [(i + 1, t.strip(), tags, chrome) for i, (t, tags, chrome) in enumerate(lines_and_tags(text)) if t.strip()]
+    if not parsed:
         return []
-    evidence = [tags + traces(t, shared) for _, t, tags in lines]
+    lines = [(no, t, tags) for no, t, tags, _ in parsed]
+    evidence = [4 * chrome + traces(t, shared) for _, t, _, chrome in parsed]
     # a list of other pages: its head and the titles and teasers below it
     inside = False
     for k, (_, t, _) in enumerate(lines):
@@ -190,13 +192,13 @@ def body_lines(text: str | None, title: str | None = None, shared: frozenset[str
         if t.endswith("…") and k and evidence[k - 1]:
             evidence[k] += 4
     name = (title or "").strip().lower()
-    ratio = [0.0 if e >= 4 else min(len(t), 200) / max(1, e) for (_, t, _), e in zip(lines, evidence)]
+    ratio = [0.0 if e >= 4 else min(len(t), 200) / max(1, tags) for (_, t, tags), e in zip(lines, evidence)]
     ratio = [max(r, float(RUNNING)) if name and t.lower() == name and e < 4 else r for r, (_, t, _), e in zip(ratio, lines, evidence)]
     reach = math.ceil(3 * SIGMA)
     kernel = [math.exp(-0.5 * (d / SIGMA) ** 2) for d in range(-reach, reach + 1)]
     total = sum(kernel)
     out = []
-    running = any(r >= RUNNING for r in ratio)
+    running = any(len(t) >= RUNNING and r >= THRESHOLD for (_, t, _), r in zip(lines, ratio)) or any(r >= RUNNING for r in ratio)
     for k, (no, t, _) in enumerate(lines):
         if evidence[k] >= 4:
             continue
@@ -213,13 +215,9 @@ def shared_lines(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGE
     ``lines per page / share`` of them, reach the driver.
     """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    at = pages.select("content_id", lines.alias("l")).select(
-        F.posexplode("l").alias("i", "line"), F.col("l"), F.col("content_id")
-    ).select(
-        F.regexp_replace("line", "[0-9]+", "9").alias("line"),
-        (F.length(F.coalesce(F.get("l", F.col("i") + 1), F.lit(""))) > RUNNING).cast("int").alias("before_text"),
-        "content_id",
-    )
+    # a line counts once per page, and for heading once more if it stands both before running text and not
+    own = F.transform("l", lambda x, i: F.struct(F.regexp_replace(x, "[0-9]+", "9").alias("line"), (F.length(F.coalesce(F.get("l", i + 1), F.lit(""))) > RUNNING).cast("int").alias("before_text")))
+    at = pages.select(lines.alias("l")).select(F.explode(F.array_distinct(own)).alias("x")).select("x.line", "x.before_text")
     n = pages.filter("text IS NOT NULL").count()
     wanted = max(least, math.ceil(share * n))
     counted = (

@@ -9,8 +9,9 @@ the rows costs as much as a rare one; rows are met again only when the links are
    deleted) finds the tokens within a small edit distance by an equi-join.
 3. Spellings whose family names are neighbours and whose given names agree are candidates; their
    tokens are aligned by optimal assignment, which permits initials, nicknames and abbreviations.
-4. Connected components of the links are the entities. A spelling that has initials only joins
-   the one entity it is compatible with, and none where there are several.
+4. Every spelling points to the most frequent spelling it is linked to, and the ends of these ways
+   are the entities. A spelling that has initials only joins the one entity it is compatible with,
+   and none where there are several.
 5. Pairs of records of one entity with different letters come out, formed in blocks.
 
 Defined results: null, empty or blank authors, and authors without a letter, are no rows; equal
@@ -30,7 +31,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm._graph import components
 from folioframe.operators.packed import NAMES, ORG_KIND, packed_items
 from folioframe.session import cut
 
@@ -285,9 +285,12 @@ def neighbours(tokens: DataFrame) -> DataFrame:
     """
     keys = tokens.select("t", F.explode(_deletes("t")).alias("k"))
     keys = keys.withColumn("c", F.count("*").over(Window.partitionBy("k"))).filter("c > 1").drop("c")
-    # two edits with swaps are at most four without; more than two only with nearly the same letters
-    may = """t < u AND abs(length(t) - length(u)) <= 2 AND CASE levenshtein(t, u, 4) WHEN -1 THEN false WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true
-        ELSE size(array_except(split(t, ''), split(u, ''))) <= 1 AND size(array_except(split(u, ''), split(t, ''))) <= 1 END"""
+    # two edits with swaps are at most four without; more than two only with nearly the same letters,
+    # and more than one only with the first letter kept or swapped (see _near)
+    may = """t < u AND abs(length(t) - length(u)) <= 2 AND CASE levenshtein(t, u, 4) WHEN -1 THEN false WHEN 1 THEN true
+        WHEN 2 THEN left(t, 1) = left(u, 1) OR left(t, 2) = reverse(left(u, 2))
+        ELSE (left(t, 1) = left(u, 1) OR left(t, 2) = reverse(left(u, 2))) AND least(length(t), length(u)) >= 6
+            AND size(array_except(split(t, ''), split(u, ''))) <= 1 AND size(array_except(split(u, ''), split(t, ''))) <= 1 END"""
     pairs = keys.join(keys.select(F.col("t").alias("u"), "k"), "k").filter(may).select("t", "u").distinct()
     near = pairs.withColumn("d", _edits("t", "u")).filter("d < 9")
     both = near.select(F.explode(F.array(F.struct(F.col("t").alias("x"), F.col("u").alias("y")), F.struct(F.col("u").alias("x"), F.col("t").alias("y")))).alias("p"), "d").select("p.x", "p.y", "d")
@@ -309,17 +312,29 @@ def first_names(bib_entry: DataFrame, source_content: DataFrame) -> DataFrame:
     return named.filter("name IS NOT NULL")
 
 
+def ascended(up: DataFrame) -> DataFrame:
+    """(node, comp): the end of the way up from every node of ``up`` (a, b), by doubling of the steps.
+
+    Every spelling points to its most frequent neighbour, or to itself; misspellings of one name
+    meet in its usual spelling after a step or two, and ways of up to eight steps are followed.
+    """
+    step = cut(up)
+    for _ in range(3):
+        step = step.alias("p").join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+    return step.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+
+
 def person_entities(people: DataFrame, near: DataFrame) -> DataFrame:
     """(name, entity) of the spellings of people (name, n, family, words)."""
     given = people.select(F.explode("words").alias("t"), "n").filter("length(t) > 2").groupBy("t").agg(F.sum("n").alias("n"))
     hub = hubs(given, near)
     # replace misspelt given names by the frequent ones: through the exploded positions, then folded again
     words = (
-        people.select("name", "family", F.posexplode_outer("words").alias("i", "t"))
+        people.select("name", "n", "family", F.posexplode_outer("words").alias("i", "t"))
         .join(hub, "t", "left")
-        .groupBy("name", "family")
+        .groupBy("name", "n", "family")
         .agg(F.sort_array(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("i", F.coalesce("hub", "t").alias("w"))))).alias("ws"))
-        .select("name", "family", F.col("ws.w").alias("given"))
+        .select("name", "n", "family", F.col("ws.w").alias("given"))
     )
     # a spelling without comma may put the family name first: a frequent given name in its place tells;
     # given names with a share of 1 in 5,000 are at most 5,000
@@ -328,23 +343,23 @@ def person_entities(people: DataFrame, near: DataFrame) -> DataFrame:
     g0 = F.get("given", F.lit(0))
     swap = F.col("family").isin(common) & ~g0.isin(common) & ~F.col("name").contains(",") & (F.length(g0) > 3)
     people = words.select(
-        "name", F.when(swap, g0).otherwise(F.col("family")).alias("family"), F.when(swap, F.concat(F.array("family"), F.slice("given", 2, 20))).otherwise(F.col("given")).alias("given")
+        "name", "n", F.when(swap, g0).otherwise(F.col("family")).alias("family"), F.when(swap, F.concat(F.array("family"), F.slice("given", 2, 20))).otherwise(F.col("given")).alias("given")
     )
     sig = F.concat_ws(" ", F.col("family"), F.lit("|"), F.concat_ws(" ", "given"))
     people = cut(people.withColumn("sig", sig))
     g0 = F.coalesce(F.get("given", F.lit(0)), F.lit(""))
     kind = F.when(F.length(g0) < 2, 0).when(F.size("given") == 1, 1).otherwise(2)  # initials, given name, with a middle name
-    sigs = people.select("sig", "family", "given").distinct().select("sig", "family", "given", g0.alias("g0"), kind.alias("k"))
+    sigs = people.groupBy("sig", "family", "given").agg(F.sum("n").alias("n")).select("sig", "family", "given", "n", g0.alias("g0"), kind.alias("k"))
     # spellings with initials meet all with that initial, full ones only those with the same given name
     initial = F.concat(F.lit("."), F.substring("g0", 1, 1))
     one = sigs.select(F.col("sig").alias("a"), F.col("family").alias("x"), F.col("given").alias("ga"), F.col("k").alias("ka"), F.when(F.col("k") == 0, initial).otherwise(F.col("g0")).alias("g"))
-    two = sigs.select(F.col("sig").alias("b"), F.col("family").alias("y"), F.col("given").alias("gb"), F.col("k").alias("kb"), F.explode(F.array_distinct(F.when(F.col("k") == 0, F.array(initial)).otherwise(F.array(initial, "g0")))).alias("g"))
-    pairs = one.join(near, "x").join(two, ["y", "g"]).filter("a <> b").filter(_compatible("x", "ga", "y", "gb"))
-    cand = cut(pairs.select("a", "b", "d", "ka", "kb"))
+    two = sigs.select(F.col("sig").alias("b"), F.col("family").alias("y"), F.col("given").alias("gb"), F.col("k").alias("kb"), F.col("n").alias("nb"), F.explode(F.array_distinct(F.when(F.col("k") == 0, F.array(initial)).otherwise(F.array(initial, "g0")))).alias("g"))
+    pairs = one.join(near, "x").join(two, ["y", "g"]).filter("a = b OR kb >= ka").filter((F.col("a") == F.col("b")) | _compatible("x", "ga", "y", "gb"))
+    cand = cut(pairs.select("a", "b", "d", "ka", "kb", "nb").distinct())
     # namesakes differ in the middle name only, so spellings with and without one are grouped apart;
     # the group without joins the one group with a middle name that it fits, and none of several
-    loops = sigs.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
-    comp = components(cand.filter("ka = kb AND a < b AND (ka > 0 OR d <= 1)").select("a", "b").unionByName(loops))
+    up = cand.filter("a = b OR (ka = kb AND (ka > 0 OR d <= 1))").groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("b"))
+    comp = cut(ascended(up))
     of_a, of_b = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     cand = cand.filter("ka < kb").join(of_a, "a").join(of_b, "b")
     fits = cand.filter("ka = 1").groupBy("ca").agg(F.countDistinct("cb").alias("c"), F.min("cb").alias("cm")).filter("c = 1").select(F.col("ca").alias("cb"), "cm")
@@ -390,7 +405,8 @@ def entities(names: DataFrame) -> DataFrame:
     """(name, entity, letters) of every distinct spelling in ``names`` (record_id, name)."""
     distinct = names.groupBy("name").agg(F.count("*").alias("n"))
     parsed = cut(distinct.withColumn("q", _parsed("name")).select("name", "n", "q.kind", "q.family", "q.words", "q.letters").filter("letters <> ''"))
-    tokens = parsed.select(F.explode(F.array_append("words", F.col("family"))).alias("t")).filter("length(t) > 2").distinct()
+    words = F.array_append(F.filter("words", lambda w: F.length(w) > 2), F.col("family"))
+    tokens = parsed.select(F.explode(words).alias("t")).filter("t <> ''").distinct()
     near = cut(neighbours(tokens))
     orgs = cut(organisation_entities(parsed, near))
     # an acronym of no organisation stands for a person's initials

@@ -37,6 +37,8 @@ from folioframe.llm.confusables import plain_text
 #: Documents that the classifiers are fitted on (given areas first), and the hashed width.
 FIT_DOCUMENTS, WIDTH = 8_000, 1 << 16
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-6
+#: Share of letters below which a text is noise; library files, with all their marks, have three quarters.
+LETTERS = 0.7
 #: Probability from which a statement counts for an area.
 SURE = 0.5
 #: Rounds in which labels spread, the smoothing of a word's areas and the share from which it votes.
@@ -60,9 +62,15 @@ def _fold(word: str) -> str:
     return "".join(ch for ch in w if not unicodedata.combining(ch)).translate(_FOLD).replace("rn", "m")
 
 
+def noise(text: str) -> bool:
+    """Whether less than ``LETTERS`` of a text's visible characters are letters."""
+    visible = "".join(text.split())
+    return sum(map(str.isalpha, visible)) < LETTERS * len(visible)
+
+
 def statements(text: str | None) -> list[list[int]]:
     """Hashed features of every statement of a text."""
-    if not text or _BLANK.fullmatch(text):
+    if not text or _BLANK.fullmatch(text) or noise(text):
         return []
     if not text.isascii():
         text = plain_text(text, "title")
