@@ -27,7 +27,7 @@ import zlib
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -280,11 +280,9 @@ def _compatible(fa: pd.Series, ga: pd.Series, fb: pd.Series, gb: pd.Series) -> p
 def neighbours(tokens: DataFrame) -> DataFrame:
     """(x, y, d) of the distinct tokens in column ``t`` within reach of each other, both ways, itself included.
 
-    Forms are compared by a 32-bit hash; forms that only one token has, most of them, are dropped
-    before the self-join, which uses the same partitioning.
+    Forms are compared by a 32-bit hash; both sides of the self-join are one shuffle.
     """
     keys = tokens.select("t", F.explode(_deletes("t")).alias("k"))
-    keys = keys.withColumn("c", F.count("*").over(Window.partitionBy("k"))).filter("c > 1").drop("c")
     # two edits with swaps are at most four without; more than two only with nearly the same letters,
     # and more than one only with the first letter kept or swapped (see _near)
     may = """t < u AND abs(length(t) - length(u)) <= 2 AND CASE levenshtein(t, u, 4) WHEN -1 THEN false WHEN 1 THEN true
@@ -355,7 +353,7 @@ def person_entities(people: DataFrame, near: DataFrame) -> DataFrame:
     one = sigs.select(F.col("sig").alias("a"), F.col("family").alias("x"), F.col("given").alias("ga"), F.col("k").alias("ka"), F.when(F.col("k") == 0, initial).otherwise(F.col("g0")).alias("g"))
     two = sigs.select(F.col("sig").alias("b"), F.col("family").alias("y"), F.col("given").alias("gb"), F.col("k").alias("kb"), F.col("n").alias("nb"), F.explode(F.array_distinct(F.when(F.col("k") == 0, F.array(initial)).otherwise(F.array(initial, "g0")))).alias("g"))
     pairs = one.join(near, "x").join(two, ["y", "g"]).filter("a = b OR kb >= ka").filter((F.col("a") == F.col("b")) | _compatible("x", "ga", "y", "gb"))
-    cand = cut(pairs.select("a", "b", "d", "ka", "kb", "nb").distinct())
+    cand = cut(pairs.select("a", "b", "d", "ka", "kb", "nb"))
     # namesakes differ in the middle name only, so spellings with and without one are grouped apart;
     # the group without joins the one group with a middle name that it fits, and none of several
     up = cand.filter("a = b OR (ka = kb AND (ka > 0 OR d <= 1))").groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("b"))
@@ -402,7 +400,7 @@ def organisation_entities(parsed: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def entities(names: DataFrame) -> DataFrame:
-    """(name, entity, letters) of every distinct spelling in ``names`` (record_id, name)."""
+    """(name, entity, letters, n) of every distinct spelling in ``names`` (record_id, name)."""
     distinct = names.groupBy("name").agg(F.count("*").alias("n"))
     parsed = cut(distinct.withColumn("q", _parsed("name")).select("name", "n", "q.kind", "q.family", "q.words", "q.letters").filter("letters <> ''"))
     words = F.array_append(F.filter("words", lambda w: F.length(w) > 2), F.col("family"))
@@ -412,16 +410,16 @@ def entities(names: DataFrame) -> DataFrame:
     # an acronym of no organisation stands for a person's initials
     rest = parsed.filter("kind = 'short'").join(orgs, "name", "left_anti").withColumn("q", _parsed_person("name")).select("name", "n", "q.family", "q.words")
     people = parsed.filter("kind = 'person'").select("name", "n", "family", "words").unionByName(rest)
-    return person_entities(people, near).unionByName(orgs).join(parsed.select("name", "letters"), "name")
+    return person_entities(people, near).unionByName(orgs).join(parsed.select("name", "letters", "n"), "name")
 
 
 def linked_records(bib_entry: DataFrame, source_content: DataFrame) -> DataFrame:
     """(record_a, record_b): records led by one person or organisation under different letters."""
     names = cut(first_names(bib_entry, source_content))
-    rows = names.join(entities(names), "name").select("record_id", "entity", "letters")
-    # only entities with at least two spellings have pairs; spellings are counted before the rows are met
-    many = rows.groupBy("entity", "letters").agg(F.count("*").alias("c")).groupBy("entity").agg(F.count("*").alias("forms"), F.sum("c").alias("total")).filter("forms > 1")
-    rows = rows.join(many, "entity")
+    spelt = cut(entities(names))
+    # only entities with several letterings have pairs; this is settled on the spellings, before any row is met
+    many = spelt.groupBy("entity").agg(F.countDistinct("letters").alias("forms"), F.sum("n").alias("total")).filter("forms > 1").select("entity", "total")
+    rows = names.join(spelt.join(many, "entity").select("name", "entity", "letters", "total"), "name")
     # members are numbered at random into blocks, and block i meets block j >= i
     blocks = F.ceil(F.col("total") / PAIR_BLOCK).cast("int")
     m = rows.select("entity", "record_id", "letters", blocks.alias("bs"), F.pmod(F.xxhash64("record_id"), blocks).cast("int").alias("blk"))
