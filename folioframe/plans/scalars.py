@@ -84,7 +84,7 @@ def _(spark, sf):
     return _docs(spark, sf).filter("text IS NOT NULL").select("doc_id", repeated_run(F.col("text")).alias("repeated"))
 
 
-@query("st_normalised_pages", r"SELECT entry_id, trim(regexp_replace(pages, '\s*[-–—]{1,2}\s*', '-', 'g')) AS pages FROM bib_entry WHERE pages IS NOT NULL")
+@query("st_normalised_pages", r"SELECT entry_id, trim(regexp_replace(pages, '\s*[-–—]{1,2}\s*', '-', 'g'), ' ') AS pages FROM bib_entry WHERE pages IS NOT NULL")
 def _(spark, sf):
     return table(spark, sf, "bib_entry").filter("pages IS NOT NULL").select("entry_id", text.normalised_pages(F.col("pages")).alias("pages"))
 
