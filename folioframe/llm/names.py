@@ -265,7 +265,7 @@ def _deletes(tokens: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_near(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series([9 if x is None else _near(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
 #: Not to be moved below the aggregation that makes the pairs distinct.
@@ -274,7 +274,7 @@ _edits = _edits.asNondeterministic()
 
 @F.pandas_udf(T.BooleanType())
 def _compatible(fa: pd.Series, ga: pd.Series, fb: pd.Series, gb: pd.Series) -> pd.Series:
-    return pd.Series([compatible(a, list(b), c, list(d)) for a, b, c, d in zip(fa, ga, fb, gb)], dtype=bool)
+    return pd.Series([a is not None and compatible(a, list(b), c, list(d)) for a, b, c, d in zip(fa, ga, fb, gb)], dtype=bool)
 
 
 def neighbours(tokens: DataFrame) -> DataFrame:
@@ -283,22 +283,30 @@ def neighbours(tokens: DataFrame) -> DataFrame:
     Forms are compared by a 32-bit hash; both sides of the self-join are one shuffle.
     """
     keys = tokens.select("t", F.explode(_deletes("t")).alias("k"))
-    # two edits with swaps are at most four without; more than two only with nearly the same letters,
-    # and more than one only with the first letter kept or swapped (see _near)
-    may = """t < u AND abs(length(t) - length(u)) <= 2 AND CASE levenshtein(t, u, 4) WHEN -1 THEN false WHEN 1 THEN true
-        WHEN 2 THEN left(t, 1) = left(u, 1) OR left(t, 2) = reverse(left(u, 2))
-        ELSE (left(t, 1) = left(u, 1) OR left(t, 2) = reverse(left(u, 2))) AND least(length(t), length(u)) >= 6
+    # Two edits with swaps are at most four without; more than two only with nearly the same letters,
+    # and more than one only with the first letter kept or swapped (see _near). Up to two plain edits
+    # the JVM knows the answer (two that leave the letters as they are count as a swap); only the
+    # rest is compared in Python.
+    swapped = "(left(t, 1) = left(u, 1) OR left(t, 2) = reverse(left(u, 2)))"
+    may = f"""CASE lev WHEN -1 THEN false WHEN 1 THEN least(length(t), length(u)) >= 4
+        WHEN 2 THEN {swapped} AND (least(length(t), length(u)) >= {LONG} OR (least(length(t), length(u)) >= 4 AND array_sort(split(t, '')) = array_sort(split(u, ''))))
+        ELSE {swapped} AND least(length(t), length(u)) >= {LONG}
             AND size(array_except(split(t, ''), split(u, ''))) <= 1 AND size(array_except(split(u, ''), split(t, ''))) <= 1 END"""
-    pairs = keys.join(keys.select(F.col("t").alias("u"), "k"), "k").filter(may).select("t", "u").distinct()
-    near = pairs.withColumn("d", _edits("t", "u")).filter("d < 9")
+    pairs = keys.join(keys.select(F.col("t").alias("u"), "k"), "k").filter("t < u AND abs(length(t) - length(u)) <= 2")
+    pairs = pairs.withColumn("lev", F.expr("levenshtein(t, u, 4)")).filter(may).select("t", "u", "lev").distinct()
+    far = F.col("lev") > 2
+    plain = F.when((F.col("lev") == 1) | F.expr("array_sort(split(t, '')) = array_sort(split(u, ''))"), 1).otherwise(2)
+    near = pairs.withColumn("d", F.when(far, _edits(F.when(far, F.col("t")), F.when(far, F.col("u")))).otherwise(plain)).filter("d < 9")
     both = near.select(F.explode(F.array(F.struct(F.col("t").alias("x"), F.col("u").alias("y")), F.struct(F.col("u").alias("x"), F.col("t").alias("y")))).alias("p"), "d").select("p.x", "p.y", "d")
     return both.unionByName(tokens.select(F.col("t").alias("x"), F.col("t").alias("y"), F.lit(0).alias("d")))
 
 
-def hubs(counted: DataFrame, near: DataFrame, ratio: int = RATIO) -> DataFrame:
-    """(t, hub) of the tokens in ``counted`` (t, n) with a neighbour ``ratio`` times as frequent: the most frequent such."""
-    c = near.filter("x <> y").join(counted.select(F.col("t").alias("x"), F.col("n").alias("nx")), "x").join(counted.select(F.col("t").alias("y"), F.col("n").alias("ny")), "y")
-    return c.filter(F.col("ny") >= ratio * F.col("nx")).groupBy(F.col("x").alias("t")).agg(F.max_by("y", F.struct("ny", "y")).alias("hub"))
+def hubs(counted: DataFrame, near: DataFrame) -> DataFrame:
+    """(kind, t, hub) of the tokens in ``counted`` (kind, t, n, ratio) with a neighbour of their kind that is ``ratio`` times as frequent: the most frequent such."""
+    x = counted.select("kind", F.col("t").alias("x"), F.col("n").alias("nx"), "ratio")
+    y = counted.select("kind", F.col("t").alias("y"), F.col("n").alias("ny"))
+    c = near.filter("x <> y").join(x, "x").join(y, ["y", "kind"]).filter("ny >= ratio * nx")
+    return c.groupBy("kind", F.col("x").alias("t")).agg(F.max_by("y", F.struct("ny", "y")).alias("hub"))
 
 
 def first_names(bib_entry: DataFrame, source_content: DataFrame) -> DataFrame:
@@ -322,10 +330,8 @@ def ascended(up: DataFrame) -> DataFrame:
     return step.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def person_entities(people: DataFrame, near: DataFrame) -> DataFrame:
-    """(name, entity) of the spellings of people (name, n, family, words)."""
-    given = people.select(F.explode("words").alias("t"), "n").filter("length(t) > 2").groupBy("t").agg(F.sum("n").alias("n"))
-    hub = hubs(given, near)
+def person_entities(people: DataFrame, near: DataFrame, given: DataFrame, hub: DataFrame) -> DataFrame:
+    """(name, entity) of the spellings of people (name, n, family, words); ``given`` counts the given names (t, n), ``hub`` replaces them (t, hub)."""
     # replace misspelt given names by the frequent ones: through the exploded positions, then folded again
     words = (
         people.select("name", "n", "family", F.posexplode_outer("words").alias("i", "t"))
@@ -352,7 +358,11 @@ def person_entities(people: DataFrame, near: DataFrame) -> DataFrame:
     initial = F.concat(F.lit("."), F.substring("g0", 1, 1))
     one = sigs.select(F.col("sig").alias("a"), F.col("family").alias("x"), F.col("given").alias("ga"), F.col("k").alias("ka"), F.when(F.col("k") == 0, initial).otherwise(F.col("g0")).alias("g"))
     two = sigs.select(F.col("sig").alias("b"), F.col("family").alias("y"), F.col("given").alias("gb"), F.col("k").alias("kb"), F.col("n").alias("nb"), F.explode(F.array_distinct(F.when(F.col("k") == 0, F.array(initial)).otherwise(F.array(initial, "g0")))).alias("g"))
-    pairs = one.join(near, "x").join(two, ["y", "g"]).filter("a = b OR kb >= ka").filter((F.col("a") == F.col("b")) | _compatible("x", "ga", "y", "gb"))
+    pairs = one.join(near, "x").join(two, ["y", "g"]).filter("a = b OR kb >= ka")
+    # the join settles single given names and equal ones; the others are aligned in Python
+    settled = (F.col("ga") == F.col("gb")) | ((F.size("ga") == 1) & (F.size("gb") == 1))
+    aligned = _compatible(*(F.when(~settled, F.col(c)) for c in ("x", "ga", "y", "gb")))
+    pairs = pairs.filter((F.col("a") == F.col("b")) | (F.size("ga") > 0) & (F.size("gb") > 0)).filter((F.col("a") == F.col("b")) | settled | aligned)
     cand = cut(pairs.select("a", "b", "d", "ka", "kb", "nb"))
     # namesakes differ in the middle name only, so spellings with and without one are grouped apart;
     # the group without joins the one group with a middle name that it fits, and none of several
@@ -372,12 +382,10 @@ def person_entities(people: DataFrame, near: DataFrame) -> DataFrame:
     return people.join(final, "sig").select("name", F.concat(F.lit("p:"), F.col("comp")).alias("entity"))
 
 
-def organisation_entities(parsed: DataFrame, near: DataFrame) -> DataFrame:
+def organisation_entities(parsed: DataFrame, hub: DataFrame) -> DataFrame:
     """(name, entity) of the spellings of organisations: the sorted words, misspelt words replaced."""
     orgs = parsed.filter("kind IN ('org', 'short')")
     words = orgs.select("name", "kind", F.col("family").alias("letters"), "n", F.posexplode("words").alias("i", "t"))
-    counted = words.groupBy("t").agg(F.sum("n").alias("n"))
-    hub = hubs(counted, near, 2)
     fixed = cut(words.join(hub, "t", "left").withColumn("w", F.coalesce("hub", "t")))
     # a word that is the beginning of a frequent longer one is its abbreviation
     vocabulary = fixed.groupBy("w").agg(F.sum("n").alias("c"))
@@ -406,11 +414,16 @@ def entities(names: DataFrame) -> DataFrame:
     words = F.array_append(F.filter("words", lambda w: F.length(w) > 2), F.col("family"))
     tokens = parsed.select(F.explode(words).alias("t")).filter("t <> ''").distinct()
     near = cut(neighbours(tokens))
-    orgs = cut(organisation_entities(parsed, near))
+    # given names and organisations' words, each replaced by a much more frequent neighbour
+    counted = parsed.withColumn("kind", F.when(F.col("kind") == "person", "person").otherwise("org")).select("kind", F.explode("words").alias("t"), "n").filter("length(t) > 2")
+    counted = cut(counted.groupBy("kind", "t").agg(F.sum("n").alias("n")).withColumn("ratio", F.when(F.col("kind") == "person", RATIO).otherwise(2)))
+    hub = cut(hubs(counted, near))
+    of = lambda df, kind: df.filter(F.col("kind") == kind).drop("kind", "ratio")
+    orgs = cut(organisation_entities(parsed, of(hub, "org")))
     # an acronym of no organisation stands for a person's initials
     rest = parsed.filter("kind = 'short'").join(orgs, "name", "left_anti").withColumn("q", _parsed_person("name")).select("name", "n", "q.family", "q.words")
     people = parsed.filter("kind = 'person'").select("name", "n", "family", "words").unionByName(rest)
-    return person_entities(people, near).unionByName(orgs).join(parsed.select("name", "letters", "n"), "name")
+    return person_entities(people, near, of(counted, "person"), of(hub, "person")).unionByName(orgs).join(parsed.select("name", "letters", "n"), "name")
 
 
 def linked_records(bib_entry: DataFrame, source_content: DataFrame) -> DataFrame:
