@@ -115,7 +115,7 @@ def packed_items(col: str, kind: str = NAMES) -> Column:
         protected = "b"
         for pattern in _PROTECT:
             protected = f"regexp_replace({protected}, {_lit(pattern)}, '$1{_AND}$2{_AND}')"
-        body = f"element_at(transform(array({body}), b -> IF(b RLIKE {_lit(rf'(?i){ORG_KIND}[\s,)]')}, {protected}, b)), 1)"
+        body = f"element_at(transform(array({body}), b -> IF(b RLIKE {_lit(r'(?i)\s(?:and|&)\s')} AND b RLIKE {_lit(rf'(?i)\b{ORG_KIND}[\s,)]')}, {protected}, b)), 1)"
         hard = f"split({body}, {_lit(r'(?i)[;|\n\r/]+|\s(?:and|&)\s')})"
         back = f"replace(replace(x, '{_AND}&{_AND}', ' & '), '{_AND}{_AND}', ' and ')"
         segs = f"filter(transform({hard}, x -> {_edges(back)}), x -> x != '')"
