@@ -293,7 +293,8 @@ def neighbours(tokens: DataFrame) -> DataFrame:
         ELSE {swapped} AND least(length(t), length(u)) >= {LONG}
             AND size(array_except(split(t, ''), split(u, ''))) <= 1 AND size(array_except(split(u, ''), split(t, ''))) <= 1 END"""
     pairs = keys.join(keys.select(F.col("t").alias("u"), "k"), "k").filter("t < u AND abs(length(t) - length(u)) <= 2")
-    pairs = pairs.withColumn("lev", F.expr("levenshtein(t, u, 4)")).filter(may).select("t", "u", "lev").distinct()
+    # as a generated row, so that the distance is computed once for the test and for the result
+    pairs = pairs.select("t", "u", F.expr(f"explode_outer(filter(array(levenshtein(t, u, 4)), lev -> {may}))").alias("lev")).filter("lev IS NOT NULL").distinct()
     far = F.col("lev") > 2
     plain = F.when((F.col("lev") == 1) | F.expr("array_sort(split(t, '')) = array_sort(split(u, ''))"), 1).otherwise(2)
     near = pairs.withColumn("d", F.when(far, _edits(F.when(far, F.col("t")), F.when(far, F.col("u")))).otherwise(plain)).filter("d < 9")
