@@ -65,8 +65,8 @@ def _clean(expr: str) -> str:
 def _restore(expr: str) -> str:
     """Put the literals back: odd pieces of the split are their numbers."""
     return (
-        f"array_join(transform(split({expr}, '[{_OPEN}{_CLOSE}]'), "
-        f"(x, i) -> if(i % 2 = 1, get(pq.pieces, try_cast(x AS INT)), x)), '')"
+        f"IF(contains({expr}, '{_OPEN}'), array_join(transform(split({expr}, '[{_OPEN}{_CLOSE}]'), "
+        f"(x, i) -> if(i % 2 = 1, get(pq.pieces, try_cast(x AS INT)), x)), ''), {expr})"
     )
 
 
@@ -119,13 +119,13 @@ def packed_items(col: str, kind: str = NAMES) -> Column:
         hard = f"split({body}, {_lit(r'(?i)[;|\n\r/]+|\s(?:and|&)\s')})"
         back = f"replace(replace(x, '{_AND}&{_AND}', ' & '), '{_AND}{_AND}', ' and ')"
         segs = f"filter(transform({hard}, x -> {_edges(back)}), x -> x != '')"
-        quoted_list = f"transform(split(x, {_lit(f'(?<={_CLOSE})\\s*,\\s*|\\s*,\\s*(?={_OPEN})|(?<={_CLOSE})\\s+(?={_OPEN})')}), y -> y)"
+        quoted_list = f"IF(contains(x, '{_OPEN}'), split(x, {_lit(f'(?<={_CLOSE})\\s*,\\s*|\\s*,\\s*(?={_OPEN})|(?<={_CLOSE})\\s+(?={_OPEN})')}), array(x))"
         # "Last, First" elsewhere in the field: a comma in another segment is read likewise
         seen = rf"(?i)^(?:{_PARTICLE}\s+)*[^\s,]+,[^,]+$"
         items = (
             f"flatten(flatten(transform(array({segs}), segs -> transform(array(exists(segs, x -> x RLIKE {_lit(seen)})), inverted -> "
             f"flatten(transform(segs, x -> flatten(transform({quoted_list}, y -> "
-            f"IF(y RLIKE '{_OPEN}', array(y), {_name_segment('y')})))))))))"
+            f"IF(contains(y, '{_OPEN}') OR NOT contains(y, ','), array(y), {_name_segment('y')})))))))))"
         )
     else:
         body = "m"
