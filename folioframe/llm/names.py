@@ -77,7 +77,7 @@ _SPECIAL = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th"
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
-@lru_cache(maxsize=32768)
+@lru_cache(maxsize=131072)
 def skeleton(token: str) -> str:
     """Letters of a token as they are compared: no accents, no case, common confusions undone."""
     t = unicodedata.normalize("NFKD", token.casefold().translate(_SPECIAL))
@@ -142,7 +142,7 @@ def parse(name: str, person: bool = False) -> tuple[str, str, list[str]]:
     m = _ACRONYM.match(name)
     if m and len(m[2]) > 4 and not person and not _ORG.search(name):
         return "short", m[1].lower(), [skeleton(m[2])]
-    if _ORG.search(name) and (_ORG_PREP.search(name) or len(name.split()) > 3):
+    if (_ORG_PREP.search(name) or name.count(" ") > 2) and _ORG.search(name):
         words = []
         for t in _TOKEN.findall(name.replace("'", "")):
             low = t.casefold()
