@@ -131,11 +131,17 @@ _DASHES = re.compile("[‐‑‒—―⁃−﹘﹣－˗۔➖⸺⸻]")
 _BETWEEN_DIGITS = re.compile(r"(?<=\d)[OoIl]+(?=[\dOoIl]*(?:\b|\d))|\b[OIl](?=\d)")
 
 
+#: Text of composed Latin letters, ordinary spaces and typographic marks is plain as it stands.
+_LATIN = re.compile("[\n\r\t -~¡-¬®-ıĴ-ňŊ-ž‘-‟–—…]*")
+
+
 def plain_text(text: str, field: str = "title") -> str:
     """The consistent form of a value; ``field`` is 'title' or 'pages'."""
     if text.isascii():
         if not re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text) and not _BETWEEN_DIGITS.search(text):
             return text
+    elif field == "title" and _LATIN.fullmatch(text) and not _BETWEEN_DIGITS.search(text):
+        return text
     out = unicodedata.normalize("NFC", text)
     out = unicodedata.normalize("NFC", "".join(map(plain_char, out)))
     if field == "pages":

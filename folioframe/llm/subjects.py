@@ -103,10 +103,9 @@ def probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[list[int]])
     """(statement, area) probabilities of each one-versus-rest classifier."""
     if not rows:
         return np.zeros((0, len(bias)))
-    flat, of = _flat(rows)
-    n = np.bincount(of, minlength=len(rows)).astype("float32")
-    z = np.zeros((len(rows), len(bias)), dtype="float32")
-    np.add.at(z, of, weights[flat])
+    n = np.fromiter((len(r) for r in rows), dtype="int64", count=len(rows))
+    flat = np.fromiter((f for r in rows for f in r), dtype="int64", count=int(n.sum()))
+    z = np.add.reduceat(weights[flat], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)  # every statement has a feature
     return 1 / (1 + np.exp(-np.clip(z / np.sqrt(n)[:, None] + bias, -30, 30)))
 
 
@@ -168,19 +167,21 @@ def fit(rows: list[list[int]], y: np.ndarray, seed: int = 3) -> tuple[np.ndarray
     w, b = np.zeros((WIDTH, k), dtype="float32"), np.full(k, -1.0, dtype="float32")
     g2, gb2 = np.full((WIDTH, k), 1e-3, dtype="float32"), np.full(k, 1e-3, dtype="float32")
     rng, y = np.random.default_rng(seed), y.astype("float32")
+    rows = [np.asarray(r, dtype="int64") for r in rows]
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 256):
             idx = order[at : at + 256]
-            flat, of = _flat([rows[i] for i in idx])
-            if not len(flat):
-                continue
-            n = np.sqrt(np.bincount(of, minlength=len(idx)).astype("float32"))
-            err = probabilities(w, b, [rows[i] for i in idx]).astype("float32") - y[idx]
+            part = [rows[i] for i in idx]
+            n = np.array([len(r) for r in part])
+            flat = np.concatenate(part)
+            scale = np.sqrt(n).astype("float32")[:, None]
+            z = np.add.reduceat(w[flat], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / scale + b
+            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[idx]
             touched, inv = np.unique(flat, return_inverse=True)
-            g = np.zeros((len(touched), k), dtype="float32")
-            np.add.at(g, inv, (err / n[:, None])[of])
-            g += DECAY * w[touched]
+            by_feature = np.argsort(inv, kind="stable")
+            starts = np.concatenate([[0], np.cumsum(np.bincount(inv))[:-1]])
+            g = np.add.reduceat(np.repeat(err / scale, n, axis=0)[by_feature], starts, axis=0) + DECAY * w[touched]
             g2[touched] += g * g
             w[touched] -= RATE * g / np.sqrt(g2[touched])
             gb = err.sum(0)
