@@ -219,3 +219,15 @@ def is_name_completion(claimed: Column, verified: Column) -> Column:
     c, v = name_map(claimed), name_map(verified)
     ok = F.forall(F.map_entries(c), lambda e: v[e["key"]].isNotNull() & F.startswith(F.lower(v[e["key"]]), F.rtrim(F.lower(e["value"]), F.lit("."))))
     return (F.size(c) > 0) & F.coalesce(ok, F.lit(False))
+
+
+def catalogue_content(w: dict[str, Column], budget: int = WEB_WORDS) -> Column:
+    """Text of a catalogue record: labelled lines of what it has, then the abstract within the rest of the word budget."""
+    rows = [("Title", F.array_join(w["title"], ": ")), ("Subtitle", F.array_join(w["subtitle"], ": ")), ("Author", names_text(w["author"])), ("Journal", F.get(w["container_title"], F.lit(0))),
+            ("Publisher", w["publisher"]), ("Volume", w["volume"]), ("Number", w["issue"]), ("Pages", w["page"]), ("PublicationDate", w["date"]), ("Language", w["lang"]), ("Type", w["work_type"]), ("DOI", w["doi"])]
+    lines = F.array_join(F.filter(F.array(*(F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}: "), v)) for k, v in rows)), lambda x: x.isNotNull()), "\n")
+    from folioframe.functions.text import without_tags, words
+
+    rest = F.greatest(F.lit(budget) - F.size(words(lines)), F.lit(0))
+    abstract = F.array_join(F.slice(words(without_tags(w["abstract"])), F.lit(1), rest), " ") if "abstract" in w else F.lit(None).cast("string")
+    return F.concat_ws("\n", lines, F.nullif(abstract, F.lit("")))

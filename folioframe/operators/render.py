@@ -32,3 +32,15 @@ def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     slices = F.transform("es", lambda x, i: F.concat(F.expr("''"), F.substring("text", F.coalesce(F.get(ends, i - 1), F.lit(0)) + 1, x["start"] - F.coalesce(F.get(ends, i - 1), F.lit(0))), x["new"]))
     tail = F.substring(F.col("text"), F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) + 1, F.length("text"))
     return j.select("doc", F.when(bad, F.col("text")).otherwise(F.concat(F.array_join(slices, ""), tail)).alias("text"), bad.alias("overlap"))
+
+
+def template(entries: DataFrame, picks: DataFrame, drop: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Picked entries (citekey, ord, why) as template text with capitalised field names, and the picks that no entry has.
+
+    ``entries`` has citekey, etype and fields; bookkeeping fields in ``drop`` are left out.
+    """
+    j = picks.join(entries.select("citekey", "etype", "fields"), "citekey")
+    kept = F.transform(F.filter("fields", lambda x: ~x["key"].isin(*drop)), lambda x: F.struct(F.initcap(x["key"]).alias("name"), x["value"].alias("value")))
+    head = F.concat(F.lit("% --- "), F.col("why"), F.lit("\n"))
+    text = j.select("ord", F.concat(head, entry_text(F.col("etype"), F.col("citekey"), kept)).alias("text"))
+    return text, picks.join(entries.select("citekey"), "citekey", "left_anti")

@@ -39,3 +39,16 @@ def worst_fields(cmp: DataFrame, k: int = 8) -> DataFrame:
     """The ``k`` fields with most errors per run."""
     e = field_errors(cmp).withColumn("errors", F.col("n_missing") + F.col("n_differ"))
     return e.withColumn("rank", F.row_number().over(Window.partitionBy("cfg").orderBy(F.desc("errors"), "key"))).filter(F.col("rank") <= k)
+
+
+def coverage(truth: DataFrame, got: DataFrame, fields: list[str]) -> DataFrame:
+    """(key, cfg, expected, present): how many of the items that should have a field have it."""
+    t = truth.filter(F.col("key").isin(*fields)).select("n", "key").distinct().join(got.select("n", "cfg").distinct(), "n")
+    g = got.filter(F.col("key").isin(*fields) & (F.coalesce("value", F.lit("")) != "")).select("n", "cfg", "key").distinct().withColumn("has", F.lit(1))
+    return t.join(g, ["n", "cfg", "key"], "left").groupBy("key", "cfg").agg(F.count("*").alias("expected"), F.count("has").alias("present"))
+
+
+def type_accuracy(truth: DataFrame, got: DataFrame) -> DataFrame:
+    """(cfg, items, type_ok) from truth (n, etype) and got (n, cfg, etype); a failed item has a null type."""
+    j = got.join(truth.select("n", F.col("etype").alias("t")), "n")
+    return j.groupBy("cfg").agg(F.count("*").alias("items"), F.count_if(F.lower("etype") == F.lower("t")).alias("type_ok"))

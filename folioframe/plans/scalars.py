@@ -373,3 +373,38 @@ def _(spark, sf):
     f = table(spark, sf, "bib_field").select("entry_id", "field_key").distinct()
     a, b = f.filter("entry_id % 3 = 0"), f.filter("entry_id % 5 = 0")
     return a.exceptAll(b).unionAll(b.exceptAll(a))
+
+
+# ---- further scalars
+
+_PLAIN = r"trim(regexp_replace(regexp_replace({0}, '[{{}}]', '', 'g'), '\s+', ' ', 'g'), ' ')"
+
+
+@query(
+    "tx_strip_latex",
+    DUCK + f"SELECT entry_id, key, CASE WHEN key = 'titleaddon' THEN 'na' || chr(92) || '\"ive X text' ELSE {_PLAIN.format('value')} END AS value FROM lib WHERE key IN ('title', 'titleaddon')",
+)
+def _(spark, sf):
+    from folioframe.functions.latex import strip_latex
+
+    return lib_fields(spark, sf).filter("key IN ('title', 'titleaddon')").select("entry_id", "key", strip_latex(F.col("value")).alias("value"))
+
+
+@query("b_coverage", DUCK.rstrip() + f", got AS (SELECT *, 'A' AS cfg FROM ({_GOT_A}) UNION ALL SELECT *, 'B' AS cfg FROM ({_GOT_B})) SELECT lib.key, r.cfg, count(*) AS expected, count(g.n) AS present FROM (SELECT DISTINCT entry_id AS n, key FROM lib WHERE key IN ('pages', 'volume', 'date')) lib JOIN (SELECT DISTINCT n, cfg FROM got) r USING (n) LEFT JOIN (SELECT DISTINCT n, cfg, key FROM got WHERE coalesce(value, '') <> '') g ON g.n = lib.n AND g.cfg = r.cfg AND g.key = lib.key GROUP BY ALL")
+def _(spark, sf):
+    lib = lib_fields(spark, sf)
+    got = spark.sql(_GOT_A.replace("FROM lib", "FROM {lib}"), lib=lib).withColumn("cfg", F.lit("A")).unionByName(spark.sql(_GOT_B.replace("FROM lib", "FROM {lib}"), lib=lib).withColumn("cfg", F.lit("B")))
+    return score.coverage(lib.select(F.col("entry_id").alias("n"), "key"), got, ["pages", "volume", "date"])
+
+
+@query("m_scenarios", "SELECT scenario, ttl, round(total, 9) AS total FROM (VALUES ('one batch of ten', '5m', 28e-2 + 7e-3 + 9 * 47e-3), ('one batch of ten', '1h', 43e-2 + 7e-3 + 9 * 47e-3), ('two batches of five', '5m', 2 * (28e-2 + 7e-3 + 4 * 47e-3)), ('two batches of five', '1h', 43e-2 + 7e-3 + 4 * 47e-3 + 5 * 47e-3), ('ten single runs', '5m', 10 * (28e-2 + 7e-3)), ('ten single runs', '1h', 43e-2 + 7e-3 + 9 * 47e-3)) t(scenario, ttl, total)")
+def _(spark, sf):
+    base = {"first_5m": F.lit(0.28), "later_5m": F.lit(0.04), "first_1h": F.lit(0.43), "later_1h": F.lit(0.04), "audit": F.lit(0.007)}
+    return spark.range(1).select(F.explode(cost.scenarios(base)).alias("x")).select("x.scenario", "x.ttl", F.round("x.total", 9).alias("total"))
+
+
+@query("ur_catalogue_content")
+def _(spark, sf):
+    w = table(spark, sf, "catalogue_work")
+    cols = {k: F.col(k) for k in ("title", "subtitle", "author", "container_title", "publisher", "volume", "issue", "page", "lang", "work_type", "doi")}
+    return w.select("work_id", web.catalogue_content(cols | {"date": web.full_date(F.col("published_print"), F.col("published_online"))}).alias("text"))

@@ -179,3 +179,21 @@ def test_patch_statuses(spark):
 def test_anchor(spark, keys, new, expected):
     df = spark.createDataFrame([(keys, new)], "ks array<string>, n string")
     assert df.select(patch.anchor(F.col("ks"), F.col("n"))).first()[0] == expected
+
+
+def test_markdown_bisect_template(spark):
+    from folioframe.functions import markdown
+    from folioframe.operators import bisect
+
+    one = spark.range(1)
+    tex = r"junk START \section{One} A \emph{b} \& c--d % note" + "\nnext \\cite[3]{key}.\n\n\\begin{itemize}\\item x\\item y\\end{itemize} STOP junk"
+    assert one.select(markdown.to_markdown(F.lit(tex), "START", "STOP").alias("v")).first().v == "# One\n\nA *b* & c–d next [key].\n\n- x\n- y"
+    assert one.select(markdown.without_command(F.lit(r"a \x{b {c}} d"), ["x"], True).alias("v")).first().v == "a b {c} d"
+    assert one.select(markdown.cedilla(F.lit(r"gar\c{c}on")).alias("v")).first().v == "garçon"
+    df = spark.range(37).select(F.col("id").alias("pos"))
+    assert bisect.offending(df, lambda d: d.filter("pos = 23").count() > 0) == 23
+    assert bisect.offending(df, lambda d: False) is None and bisect.offending(df.limit(0), lambda d: True) is None
+    _, s = _parsed(spark, _entry("title = {A}"))
+    picks = spark.createDataFrame([("k", 1, "plain"), ("none", 2, "gone")], "citekey string, ord int, why string")
+    text, missing = render.template(scan.entries(s), picks, ["date-added", "date-modified"])
+    assert text.first().text == "% --- plain\n@article{k,\n\tDate = {2020},\n\tTitle = {A}}\n" and missing.first().citekey == "none"
