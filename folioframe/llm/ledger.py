@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 KEY_FIELDS = ("title", "author", "entry_date")
 #: Rows of a group are spread over tasks of about this many when pairs are formed.
 PAIR_BLOCK = 256
+#: Tasks over which the rows of one key are spread.
+SALT = 16
 
 
 @F.pandas_udf(T.StringType())
@@ -102,32 +104,33 @@ def update_ledger(spark, path: str, batch: DataFrame) -> None:
 
 
 def pairs_of_groups(members: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
-    """All pairs (entry_a < entry_b) within each ``key``.
+    """All pairs (entry_a < entry_b) within each ``key`` of members (key, entry_id, copies).
 
-    Members are numbered and cut into blocks; block i meets block j >= i by an equi-join on
-    (key, i, j), so that no task holds more than two blocks of a group at once.
+    Members are spread over blocks by a hash of their id; block i meets block j >= i by an equi-join
+    on (key, i, j), so that no task holds more than two blocks of a group, and no group is sorted
+    or numbered as a whole.
     """
-    n = F.count("*").over(_w("key"))
-    rn = F.row_number().over(_w("key").orderBy("entry_id"))
-    m = members.withColumn("n", n).filter("n > 1").withColumn("blk", F.floor((rn - 1) / block).cast("int"))
-    last = F.floor((F.col("n") - 1) / block).cast("int")
-    left = m.select("key", F.col("entry_id").alias("entry_a"), F.col("blk").alias("i"), F.explode(F.sequence(F.col("blk"), last)).alias("j"))
-    right = m.select("key", F.col("entry_id").alias("entry_b"), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("i"))
-    return left.join(right, ["key", "i", "j"]).filter("entry_a < entry_b").select("entry_a", "entry_b")
+    blocks = F.ceil(F.col("copies") / block).cast("int")
+    m = members.select("key", "entry_id", blocks.alias("bs"), F.pmod(F.xxhash64("entry_id"), blocks).cast("int").alias("blk"))
+    left = m.select("key", F.col("entry_id").alias("a"), F.col("blk").alias("i"), F.explode(F.sequence(F.col("blk"), F.col("bs") - 1)).alias("j"))
+    right = m.select("key", F.col("entry_id").alias("b"), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("i"))
+    pairs = left.join(right, ["key", "i", "j"]).filter("i < j OR a < b")
+    return pairs.select(F.least("a", "b").alias("entry_a"), F.greatest("a", "b").alias("entry_b"))
 
 
-def _w(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
+def duplicate_pairs(records: DataFrame) -> DataFrame:
+    """Pairs of records that differ in formatting only, through the ledger of their keys.
 
+    The keys are computed once and written; the ledger's repeated keys meet the rows on
+    (key, salt), so a key with a third of all rows is spread over ``SALT`` tasks.
+    """
+    from folioframe.session import cut
 
-def duplicate_pairs(records: DataFrame) -> DataFrame:
-    """Pairs of records that differ in formatting only, through the ledger of their keys."""
-    keys = keyed(records)
+    keys = cut(keyed(records))
     ledger = merge_ledger(empty_ledger(records.sparkSession), batch_counts(keys))
-    repeated = ledger.filter("copies > 1").select("key", "copies")
-    return pairs_of_groups(keys.join(repeated, "key").select("key", "entry_id"))
+    repeated = ledger.filter("copies > 1").select("key", "copies", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    rows = keys.select("key", "entry_id", F.pmod(F.xxhash64("entry_id", F.lit(1)), F.lit(SALT)).cast("int").alias("salt"))
+    return pairs_of_groups(rows.join(repeated, ["key", "salt"]))
 
 
 def collapsed(records: DataFrame) -> DataFrame:

@@ -214,8 +214,8 @@ def test_groups_against_brute_force(spark):
 
 
 def test_hot_group_in_blocks(spark):
-    m = spark.range(700).select(F.lit("k").alias("key"), F.col("id").alias("entry_id"))
-    assert ledger.pairs_of_groups(m, 64).distinct().count() == 700 * 699 // 2
+    m = spark.range(700).select(F.lit("k").alias("key"), F.col("id").alias("entry_id"), F.lit(700).alias("copies"))
+    assert ledger.pairs_of_groups(m, 64).count() == ledger.pairs_of_groups(m, 64).filter("entry_a < entry_b").distinct().count() == 700 * 699 // 2
 
 
 def test_incremental_ledger_equals_one_batch(spark, tmp_path):
