@@ -174,6 +174,14 @@ def test_recall_against_brute_force(spark):
     assert len(truth) > 50 and len(truth & found) / len(truth) >= 0.9
 
 
+@pytest.mark.parametrize("bits", [6, 14, 18, 24, 30])
+def test_buckets_are_shared_as_often_at_every_size(spark, bits):
+    one = spark.createDataFrame([(1, "a handbook of locomotives", ["Roe, A."], [1950])], "id bigint, title string, author array<string>, years array<int>")
+    d = one.select("id", linkage._describe_work("title", F.lit(None).cast("string"), "author", "years").alias("d"))
+    n = linkage.hash_table(d, linkage.Encoder({}, {}, 1.0), bits).select("key").distinct().count()  # the views' tables together
+    assert 1 - (1 - 0.85**bits) ** n >= 0.968 and 1 - (1 - 0.85**bits) ** (n // 2) >= 0.82
+
+
 # ---- 5 boilerplate
 
 
