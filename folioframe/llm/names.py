@@ -9,8 +9,8 @@ the rows costs as much as a rare one; rows are met again only when the links are
    deleted) finds the tokens within a small edit distance by an equi-join.
 3. Spellings whose family names are neighbours and whose given names agree are candidates; their
    tokens are aligned by optimal assignment, which permits initials, nicknames and abbreviations.
-4. Every spelling points to the most frequent spelling it is linked to, and the ends of these ways
-   are the entities. A spelling that has initials only joins the one entity it is compatible with,
+4. Connected components of the links are the entities: every spelling points to the most frequent
+   one it is linked to, and ways whose ends are linked are joined until none are left. A spelling that has initials only joins the one entity it is compatible with,
    and none where there are several.
 5. Pairs of records of one entity with different letters come out, formed in blocks.
 
@@ -322,13 +322,35 @@ def first_names(bib_entry: DataFrame, source_content: DataFrame) -> DataFrame:
 def ascended(up: DataFrame) -> DataFrame:
     """(node, comp): the end of the way up from every node of ``up`` (a, b), by doubling of the steps.
 
-    Every spelling points to its most frequent neighbour, or to itself; misspellings of one name
-    meet in its usual spelling after a step or two, and ways of up to eight steps are followed.
+    Every spelling points to its most frequent neighbour, or to itself, so ways have no circles. Each
+    round doubles twice and is written; it was the last if its second doubling moved no pointer.
     """
     step = cut(up)
-    for _ in range(3):
-        step = step.alias("p").join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-    return step.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    while True:
+        for _ in range(2):
+            ahead = step.select(F.col("a").alias("b"), F.col("b").alias("c"))
+            step = step.alias("p").join(ahead, "b").select("a", F.col("c").alias("b"), (F.col("c") != F.col("b")).alias("moved"))
+        step = cut(step)
+        if step.filter("moved").isEmpty():
+            return step.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+
+
+def components(links: DataFrame, up: DataFrame) -> DataFrame:
+    """(node, comp) of the connected components of ``links`` (a, b); ``up`` (a, b) is a way to begin with from every node.
+
+    Links inside a way go at once; what joins two ways is few, and each round joins every way's end to
+    the greatest end it is linked to. It ends when no link joins two.
+    """
+    comp = tops = ascended(up)
+    while True:
+        of_a, of_b = tops.select(F.col("node").alias("a"), F.col("comp").alias("ca")), tops.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+        across = links.join(of_a, "a").join(of_b, "b").filter("ca <> cb")
+        both = F.explode(F.array(F.struct(F.col("ca").alias("a"), F.col("cb").alias("b")), F.struct(F.col("cb").alias("a"), F.col("ca").alias("b"))))
+        links = cut(across.select(both.alias("l")).select("l.a", "l.b").distinct())
+        if links.isEmpty():
+            return comp
+        tops = ascended(links.groupBy("a").agg(F.max("b").alias("b")).select("a", F.greatest("a", "b").alias("b")))
+        comp = cut(comp.join(tops.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
 
 
 def person_entities(people: DataFrame, near: DataFrame, given: DataFrame, hub: DataFrame) -> DataFrame:
@@ -367,8 +389,8 @@ def person_entities(people: DataFrame, near: DataFrame, given: DataFrame, hub: D
     cand = cut(pairs.select("a", "b", "d", "ka", "kb", "nb"))
     # namesakes differ in the middle name only, so spellings with and without one are grouped apart;
     # the group without joins the one group with a middle name that it fits, and none of several
-    up = cand.filter("a = b OR (ka = kb AND (ka > 0 OR d <= 1))").groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("b"))
-    comp = cut(ascended(up))
+    links = cand.filter("a = b OR (ka = kb AND (ka > 0 OR d <= 1))")
+    comp = components(links.filter("a < b").select("a", "b"), links.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("b")))
     of_a, of_b = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     cand = cand.filter("ka < kb").join(of_a, "a").join(of_b, "b")
     fits = cand.filter("ka = 1").groupBy("ca").agg(F.countDistinct("cb").alias("c"), F.min("cb").alias("cm")).filter("c = 1").select(F.col("ca").alias("cb"), "cm")

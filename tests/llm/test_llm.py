@@ -88,6 +88,32 @@ def test_ways_up(spark):
     assert {r.node: r.comp for r in names.ascended(up).collect()} == {"a": "d", "b": "d", "c": "d", "d": "d", "e": "e", "f": "d"}
 
 
+@pytest.mark.parametrize("length", [1, 8, 9, 40])
+def test_long_ways_end_in_one_node(spark, length):
+    up = spark.createDataFrame([(i, min(i + 1, length)) for i in range(length + 1)], "a int, b int")
+    assert {(r.node, r.comp) for r in names.ascended(up).collect()} == {(i, length) for i in range(length + 1)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    near = {i: [i, *(y for x, y in links if x == i), *(x for x, y in links if y == i)] for i in range(60)}
+    truth = list(range(60))
+    for _ in range(60):
+        truth = [max(truth[y] for y in near[x]) for x in range(60)]
+    up = spark.createDataFrame([(i, max(near[i], key=lambda y: (y * 7 % 11, y))) for i in range(60)], "a int, b int")
+    got = {r.node: r.comp for r in names.components(spark.createDataFrame(links, "a int, b int"), up).collect()}
+    assert len(got) == 60 and all((got[x] == got[y]) == (truth[x] == truth[y]) for x in range(60) for y in range(60))
+
+
+def test_linked_spellings_with_different_tops_stay_together(spark):
+    # the first and the last are each twice there and too far apart; the two between link them
+    rows = ["Wexlerbergan", "Wexlerbergan", "Wexlerbergos", "Wexlerbexmos", "Wexlemmexmos", "Wexlemmexmos"]
+    got = {(r.record_a, r.record_b) for r in names.linked_records(bib(spark, [(f"{x}, Victoria", "t", None, None) for x in rows]), source(spark, [])).collect()}
+    assert {(0, 2), (2, 3), (3, 4), (0, 5)} <= got
+
+
 # ---- 3 confusables
 
 PLAIN = [
