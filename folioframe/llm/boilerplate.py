@@ -8,7 +8,9 @@ many pages of the corpus share. The ratios are smoothed with a Gaussian over nei
 and clustered by a threshold into content and furniture regions; a line that carries tags or
 traces of its own never counts as content, however good its neighbourhood.
 
-The shared lines are counted over all pages. A line counts as shared above a fixed share of the
+The shared lines are counted per host: a line that a fixed share of a host's distinct pages have is
+furniture of that host, and meets the host's pages by a join. As a second rule they are counted
+over all pages. A line counts as shared above a fixed share of the
 pages, so at most ``lines per page / SHARE`` lines qualify, whatever the size of the corpus; that
 bounded list is what the workers receive. Section headings are shared as well, and are told apart
 because running text follows them.
@@ -26,11 +28,13 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Share of the pages from which a line counts as shared, and the least number of such pages.
 SHARE, LEAST_PAGES = 0.015, 8
+#: The same on the distinct pages of one host, and tasks over which the pages of a host are spread.
+HOST_SHARE, HOST_PAGES, SALT = 0.25, 5, 16
 #: Share of a shared line's occurrences before running text from which it is a heading.
 HEADING_SHARE = 0.7
 #: Width of the Gaussian in lines, and the smoothed ratio from which a line is content.
@@ -208,16 +212,30 @@ def body_lines(text: str | None, title: str | None = None, shared: frozenset[str
     return out
 
 
+def _lines_of(pages: DataFrame, *columns: Column) -> DataFrame:
+    """(*columns, line, before_text): the masked lines of every page, each once; twice if it stands both before running text and not."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    own = F.transform("l", lambda x, i: F.struct(F.regexp_replace(x, "[0-9]+", "9").alias("line"), (F.length(F.coalesce(F.get("l", i + 1), F.lit(""))) > RUNNING).cast("int").alias("before_text")))
+    return pages.select(*columns, lines.alias("l")).select("*", F.explode(F.array_distinct(own)).alias("x")).drop("l").select("*", "x.line", "x.before_text").drop("x")
+
+
+def host_lines(pages: DataFrame, share: float = HOST_SHARE, least: int = HOST_PAGES) -> DataFrame:
+    """(host, lines): lines that at least ``share`` of a host's distinct pages have, without section headings; at most ``lines per page / share`` each."""
+    told = pages.filter("text IS NOT NULL AND host IS NOT NULL")
+    page = F.xxhash64("text").alias("page")
+    total = told.select("host", page).groupBy("host").agg(F.countDistinct("page").alias("pages"))
+    counted = _lines_of(told, F.col("host"), page).groupBy("host", "line").agg(F.countDistinct("page").alias("n"), F.avg("before_text").alias("p"))
+    kept = counted.filter((F.col("n") >= least) & ((F.col("p") < HEADING_SHARE) | (F.length("line") > RUNNING))).join(total, "host").filter(F.col("n") >= share * F.col("pages"))
+    return kept.groupBy("host").agg(F.collect_list("line").alias("lines"))
+
+
 def shared_lines(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> frozenset[str]:
     """Lines that at least ``share`` of all pages have, without section headings; a bounded list.
 
     One map-side aggregation over all lines of all pages; only the lines above the share, at most
     ``lines per page / share`` of them, reach the driver.
     """
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    # a line counts once per page, and for heading once more if it stands both before running text and not
-    own = F.transform("l", lambda x, i: F.struct(F.regexp_replace(x, "[0-9]+", "9").alias("line"), (F.length(F.coalesce(F.get("l", i + 1), F.lit(""))) > RUNNING).cast("int").alias("before_text")))
-    at = pages.select(lines.alias("l")).select(F.explode(F.array_distinct(own)).alias("x")).select("x.line", "x.before_text")
+    at = _lines_of(pages)
     n = pages.filter("text IS NOT NULL").count()
     wanted = max(least, math.ceil(share * n))
     counted = (
@@ -234,20 +252,26 @@ def main_body(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, nos, kept = [], [], []
-            for cid, text, title in zip(b["content_id"], b["text"], b["title"]):
+            ids, nos, kept, own = [], [], [], {}
+            for cid, text, title, host, of_host in zip(b["content_id"], b["text"], b["title"], b["host"], b["lines"]):
                 if not text:
                     continue
+                if host not in own:
+                    own[host] = shared if of_host is None else shared.union(of_host)
                 lines = text.split("\n")
-                for no in body_lines(text, title, shared):
+                for no in body_lines(text, title, own[host]):
                     ids.append(cid)
                     nos.append(no)
                     kept.append(lines[no - 1].strip())
             yield pd.DataFrame({"content_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(nos, dtype="int32"), "line": pd.Series(kept, dtype=object)})
 
-    rows = pages.filter("text IS NOT NULL").select("content_id", "text", F.col("metadata")["Title"].alias("title"))
+    salted = host_lines(pages).select("host", "lines", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    rows = pages.filter("text IS NOT NULL").select("content_id", "text", F.col("metadata")["Title"].alias("title"), "host", F.pmod(F.xxhash64("content_id"), F.lit(SALT)).cast("int").alias("salt"))
+    rows = rows.join(salted, ["host", "salt"], "left").select("content_id", "text", "title", "host", "lines")
     return rows.mapInPandas(run, "content_id bigint, line_no int, line string")
 
 
 def web_pages(source_content: DataFrame) -> DataFrame:
-    return source_content.filter("label = 'webpage'").select("content_id", "text", "metadata")
+    """(content_id, text, metadata, host) of the web pages; a table without hosts gives null ones."""
+    host = F.col("host") if "host" in source_content.columns else F.lit(None).cast("string").alias("host")
+    return source_content.filter("label = 'webpage'").select("content_id", "text", "metadata", host)

@@ -234,6 +234,15 @@ def test_main_body_table(spark):
     assert boilerplate.main_body(boilerplate.web_pages(source(spark, []))).count() == 0
 
 
+def test_furniture_of_one_small_host_among_many(spark):
+    body = lambda i, j: f"Paragraph {'xyz'[j]} of page {'abcdefghij'[i % 10] * (i // 10 + 1)} is long enough to count as running text, and no other page has it."
+    note = "The reading room of this house is closed on the second day of each month until the roof is mended."
+    pages = [(i, "\n".join([body(i, 0), body(i, 1), note] if i < 6 else [body(i, 0), body(i, 1)]), None, "webpage", "small" if i < 6 else f"h{i // 5}") for i in range(600)]
+    pages += [(1000 + i, body(7, 0) + "\n" + body(7, 2), None, "webpage", "copies") for i in range(6)]  # one page fetched again is no furniture
+    got = {(r.content_id, r.line_no) for r in boilerplate.main_body(boilerplate.web_pages(spark.createDataFrame(pages, SRC.replace("name", "host")))).collect()}
+    assert {no for cid, no in got if cid < 6} == {1, 2} and len(got) == 2 * 606
+
+
 # ---- 6 ledger
 
 
