@@ -7,7 +7,7 @@ the rows reaches the shuffle as one row per input task), then joined with the le
 join on the key, counts are added and the earlier representative is kept. The ledger is written
 in hash buckets, so an update reads and writes only the buckets that the batch touches.
 
-Defined results: records without a title are kept out of the pairs (they have no key); a null
+Defined results: records without a title are kept out of the pairs, and counted where asked for; a null
 field equals only a null; an empty or sign-only field is a value of its own, different from null;
 ties of ``added_at`` go to the smaller id; an empty batch leaves the ledger as it is; further
 columns are ignored.
@@ -55,9 +55,9 @@ def empty_ledger(spark) -> DataFrame:
     return spark.createDataFrame([], "key string, copies bigint, first_at timestamp_ntz, entry_id bigint, bucket int")
 
 
-def keyed(records: DataFrame) -> DataFrame:
-    """(entry_id, added_at, key) of the records that have a title."""
-    return records.filter("title IS NOT NULL").select("entry_id", "added_at", canonical_key().alias("key"))
+def keyed(records: DataFrame, untitled: bool = False) -> DataFrame:
+    """(entry_id, added_at, key) of the records that have a title, or of all records."""
+    return (records if untitled else records.filter("title IS NOT NULL")).select("entry_id", "added_at", canonical_key().alias("key"))
 
 
 def batch_counts(keys: DataFrame, buckets: int = 64) -> DataFrame:
@@ -133,6 +133,6 @@ def duplicate_pairs(records: DataFrame) -> DataFrame:
     return pairs_of_groups(rows.join(repeated, ["key", "salt"]))
 
 
-def collapsed(records: DataFrame) -> DataFrame:
-    """One row per record, with its number of copies and its earliest representative."""
-    return merge_ledger(empty_ledger(records.sparkSession), batch_counts(keyed(records))).select("entry_id", "copies", "first_at")
+def collapsed(records: DataFrame, untitled: bool = False) -> DataFrame:
+    """One row per record, with its number of copies and its earliest representative; records without a title only if ``untitled``."""
+    return merge_ledger(empty_ledger(records.sparkSession), batch_counts(keyed(records, untitled))).select("entry_id", "copies", "first_at")

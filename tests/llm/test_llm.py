@@ -256,6 +256,13 @@ def test_groups_against_brute_force(spark):
     assert ledger.duplicate_pairs(bib(spark, [])).count() == 0
 
 
+def test_records_without_title_are_counted(spark):
+    b = bib(spark, [("Doe, J.", None, "2020", None), ("doe j", None, "(2020)", None), ("Doe, J.", "", "2020", None), (None, None, None, None), ("Doe, J.", "A", "2020", None)])
+    assert sorted((r.entry_id, r.copies) for r in ledger.collapsed(b, untitled=True).collect()) == [(0, 2), (2, 1), (3, 1), (4, 1)]
+    b = spark.read.parquet("/root/testdata/sf0.01/bib_entry.parquet")
+    assert b.filter("title IS NULL").count() and ledger.collapsed(b, untitled=True).agg(F.sum("copies")).first()[0] == b.count()
+
+
 def test_hot_group_in_blocks(spark):
     m = spark.range(700).select(F.lit("k").alias("key"), F.col("id").alias("entry_id"), F.lit(700).alias("copies"))
     assert ledger.pairs_of_groups(m, 64).count() == ledger.pairs_of_groups(m, 64).filter("entry_a < entry_b").distinct().count() == 700 * 699 // 2
