@@ -1,7 +1,9 @@
 """Sources, sinks, providers and streams."""
 
 import json
+import os
 import plistlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -79,6 +81,21 @@ def test_stream_takes_each_content_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).filter("key = 'title'").count() == 6
 
 
+def test_stream_takes_files_of_any_age_once(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+
+    def run(name, text, days):
+        (src / name).write_text(text)
+        at = time.time() - days * 86400
+        os.utime(src / name, (at, at))
+        ingest.start_ingest(ingest.library_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "out")).filter("key = 'title'").count()
+
+    # a newer file first, then an older one that is new, then the first one's content again, days apart
+    assert [run("a.bib", BIB, 10), run("b.bib", BIB.replace("{A}", "{B}"), 30), run("c.bib", BIB, 0)] == [2, 4, 4]
+
+
 def test_event_windows(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     assert ingest.event_counts(e).agg(F.sum("n")).first()[0] == e.count()
