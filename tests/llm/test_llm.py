@@ -2,6 +2,7 @@
 
 import datetime
 import glob
+import itertools
 import os
 import random
 from collections import Counter, defaultdict
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from folioframe.session import cut
 from folioframe.llm import boilerplate, confusables, ledger, linkage, names, packing, subjects, tokenise
 
 SF = "/root/testdata/sf0.001"
@@ -114,6 +116,48 @@ def test_linked_spellings_with_different_tops_stay_together(spark):
     assert {(0, 2), (2, 3), (3, 4), (0, 5)} <= got
 
 
+ONE_PERSON = [
+    ("Jane Zellweger", "Zellweger Jane"), ("Quandt, Anna Maria", "Quandt, Maria Anna"), ("Wexlerberg, Jonathan", "Wexlerberg, Jonathn"), ("Brodmann, Christopher", "Brodmann, Chris"),
+    ("Tarkov, Alexander", "Tarkov, Alex"), ("Hollund, Frederick", "Hollund, Fred"), ("Bernstadt, Zoe", "Bemstadt, Zoe"), ("Olga Harlin-Westovan", "Harlin-Westovan, Olga"),
+    ("Harlow, " + " ".join(f"Name{c}" for c in "abcdefghijklmn"), "Harlow, " + " ".join(f"Name{c}" for c in "nmlkjihgfedcba")),
+]
+
+
+def test_rare_names_are_linked(spark):
+    rows = [(x, "t", None, None) for p in ONE_PERSON for x in p]
+    got = {(r.record_a, r.record_b) for r in names.linked_records(bib(spark, rows), source(spark, [])).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(len(ONE_PERSON))}
+
+
+def test_two_people_stay_apart(spark):
+    people = ["Vesbatosky, Friedrich", "Pesbatosky, Friedrich", "Nelberg, Nicholas I.", "Nelberg, Nicholas I.", "Nelberg, Nicholas I.", "Nelberg, Nicholas F.", "Nelberg, Nicholas F.", "Nelberg, Nicholas F.", "Brodmann, Chris", "Brodmann, Christina", "Brodmann, Christopher"]
+    assert names.linked_records(bib(spark, [(x, "t", None, None) for x in people]), source(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("word", ["a", "abc", "abcd", "abcdefgh", "abcdefghijklmn", "äöüßabcd"])
+def test_delete_forms_in_the_jvm(spark, word):
+    got = spark.createDataFrame([(word,)], "t string").select(names.delete_forms().alias("f")).first().f
+    assert sorted(got) == (names.deletes(word) if len(word) >= 4 else sorted({word} | ({word[:i] + word[i + 1 :] for i in range(3)} if len(word) == 3 else set())))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 4), st.integers(4, 6), st.randoms())
+def test_assignment_against_brute_force(n, m, rng):
+    cost = [[rng.randrange(50) for _ in range(m)] for _ in range(n)]
+    best = min(sum(cost[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+    picked = names._optimal(cost)
+    assert len(set(picked)) == n and sum(cost[i][j] for i, j in enumerate(picked)) == best
+
+
+def test_names_recall_against_brute_force(spark):
+    b, s = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/bib_entry.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.01')}/source_content.parquet")
+    found = {r.name: r.entity for r in names.entities(cut(names.first_names(b, s))).collect()}
+    people = [(n, p) for n in found if (p := names.parse(n)).comma and len(p.words[0]) > 1]
+    near = {(x, y) for i, (x, p) in enumerate(people) for y, q in people[:i] if p.family[0] == q.family[0] and names.edits(p.family, q.family) <= min(names.reach(p.family), names.reach(q.family)) and names.compatible(p.words, q.words)}
+    hits = sum(found[x] == found[y] for x, y in near)
+    assert len(near) > 300 and hits >= 0.95 * len(near)
+
+
 # ---- 3 confusables
 
 PLAIN = [
