@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioframe.functions.text import closing
 from folioframe.schema import ABBREVIATIONS
 
 INSIDE, ESCAPED = "\x01", "\x02"
@@ -124,20 +125,56 @@ def flattened(v: Column) -> Column:
     return F.rtrim(F.lower(F.trim(F.regexp_replace(F.regexp_replace(v, r"[{}\\]", ""), r"\s+", " "))), F.lit(".,;:?!"))
 
 
+def stripped(s: str) -> str:
+    """``strip_latex`` of one value nested to any depth."""
+    before = None
+    while before != s:
+        before = s
+        for pattern, new in _STRIP:
+            s = re.sub(pattern, new, s)
+    return s
+
+
+_STRIP = ((r"\\(?:foreignlanguage|hyphenation)\s*\{[^{}]*\}", ""), (r"\\bibstring\s*\{[^{}]*\}", ""), (r"\\[A-Za-z]+\*?\s*\{([^{}]*)\}", r"\1"))
+
+
+@F.pandas_udf(T.StringType())
+def _stripped(values: pd.Series) -> pd.Series:
+    return values.map(lambda s: None if s is None else stripped(s))
+
+
 def strip_latex(v: Column, depth: int = 6) -> Column:
-    """Text of a value: first arguments of language macros and bibstrings dropped, other macros unwrapped, no braces."""
+    """Text of a value: first arguments of language macros and bibstrings dropped, other macros unwrapped, no braces.
+
+    Values nested deeper than ``depth`` are finished in Python; all others stay in the JVM.
+    """
     out = v
     for _ in range(depth):
         out = F.regexp_replace(out, r"\\(?:foreignlanguage|hyphenation)\s*\{[^{}]*+\}", "")
         out = F.regexp_replace(out, r"\\bibstring\s*\{[^{}]*+\}", "")
         out = F.regexp_replace(out, r"\\[A-Za-z]+\*?\s*\{([^{}]*+)\}", "$1")
+    deeper = out.rlike(r"\\[A-Za-z]+\*?\s*\{[^{}]*\}")
+    out = F.when(deeper, _stripped(F.when(deeper, out))).otherwise(out)
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"\\bibstring\b|[{}]", ""), r"\s+", " "))
 
 
 def unwrap(v: Column) -> Column:
-    """Payload of a macro that wraps the whole value, for payloads of up to three nested groups."""
+    """Payload of a macro that wraps the whole value; payloads of more than three nested groups are read in Python."""
     group = r"(?:[^{}\\]++|\\.|\{(?:[^{}\\]++|\\.|\{[^{}]*+\})*+\})*+"
-    return F.regexp_replace(F.trim(v), rf"(?s)^\\(?:foreignlanguage\{{[a-zA-Z]+\}}|mkbibquote|mkbibemph)\{{({group})\}}$", "$1")
+    whole, head = F.trim(v), r"\\(?:foreignlanguage\{[a-zA-Z]+\}|mkbibquote|mkbibemph)\{"
+    deep = whole.rlike(rf"(?s)^{head}.*\{{[^{{}}]*\{{[^{{}}]*\{{.*\}}$")
+    return F.when(deep, _unwrapped(F.when(deep, whole))).otherwise(F.regexp_replace(whole, rf"(?s)^{head}({group})\}}$", "$1"))
+
+
+@F.pandas_udf(T.StringType())
+def _unwrapped(values: pd.Series) -> pd.Series:
+    return values.map(lambda s: None if s is None else unwrapped(s))
+
+
+def unwrapped(s: str) -> str:
+    """``unwrap`` of one value of any depth."""
+    head = re.match(r"\\(?:foreignlanguage\{[a-zA-Z]+\}|mkbibquote|mkbibemph)\{", s)
+    return s[head.end() : -1] if head and closing(s, head.end() - 1) == len(s) - 1 else s
 
 
 def looks_english(v: Column, markers: list[str]) -> Column:

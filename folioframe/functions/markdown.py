@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from folioframe.functions.text import closing
 
 _GROUP = r"\{((?:[^{}\\]++|\\.|\{(?:[^{}\\]++|\\.|\{[^{}]*+\})*+\})*+)\}"
 
@@ -57,8 +63,28 @@ def to_markdown(s: Column, start: str | None = None, stop: str | None = None) ->
 
 
 def without_command(s: Column, names: list[str], keep_argument: bool) -> Column:
-    """Commands with one argument dropped, or unwrapped, for arguments of up to three nested groups."""
-    return F.regexp_replace(s, rf"\\(?:{'|'.join(names)})\*?\s*{_GROUP}", "$1" if keep_argument else "")
+    """Commands with one argument dropped, or unwrapped; arguments of more than three nested groups are closed by counting, in Python."""
+    head = rf"\\(?:{'|'.join(names)})\*?\s*\{{"
+    out = F.regexp_replace(s, rf"\\(?:{'|'.join(names)})\*?\s*{_GROUP}", "$1" if keep_argument else "")
+
+    @F.pandas_udf(T.StringType())
+    def deep(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else command_dropped(x, head, keep_argument))
+
+    return F.when(out.rlike(head), deep(F.when(out.rlike(head), s))).otherwise(out)
+
+
+def command_dropped(text: str, head: str, keep_argument: bool) -> str:
+    """``text`` without the commands that ``head`` opens, at any depth of their arguments; unclosed ones stay."""
+    out, at = [], 0
+    for m in re.finditer(head, text):
+        if m.start() < at or (close := closing(text, m.end() - 1)) is None:
+            continue
+        out.append(text[at : m.start()])
+        if keep_argument:
+            out.append(text[m.end() : close])
+        at = close + 1
+    return "".join((*out, text[at:]))
 
 
 def cedilla(s: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,7 +59,7 @@ def page_window(pages: Column) -> Column:
     count = lambda c: F.size(words(c)).cast("string")
     full = F.concat(F.lit("--- FULL TEXT ("), n.cast("string"), F.lit(" words) ---\n"), F.trim(whole))
     parts = F.concat_ws("\n", F.concat(F.lit("--- BEGINNING ("), count(first), F.lit(" words) ---")), first, F.concat(F.lit("--- END ("), count(last), F.lit(" words) ---")), last, F.nullif(headers_footers(pages), F.lit("")))
-    return F.when(n <= FIRST_WORDS + LAST_WORDS, full).otherwise(parts)
+    return F.when(n <= F.size(words(first)) + LAST_WORDS, full).otherwise(parts)
 
 
 def ocr_choice(plain: Column, ocr: Column, forced: Column) -> Column:
@@ -138,5 +139,32 @@ def cleaned_reply(s: Column) -> Column:
     """The first entry of a model's reply: no code fences, nothing before the first @ or after its entry."""
     body = F.regexp_replace(s, r"(?m)^\s*```.*$\n?", "")
     group = r"(?:[^{}\\]++|\\.|\{(?:[^{}\\]++|\\.|\{(?:[^{}\\]++|\\.|\{[^{}]*+\})*+\})*+\})*+"
-    entry = F.regexp_extract(body, rf"(?s)(@\w+\s*\{{{group}\}})", 1)
-    return F.when(entry != "", entry).otherwise(F.trim(F.regexp_extract(body, "(?s)(@.*)$", 1)))
+    rest = F.regexp_extract(body, r"(?s)(@\w+\s*\{.*)$", 1)
+    entry = F.regexp_extract(rest, rf"(?s)^(@\w+\s*\{{{group}\}})", 1)
+    # entries nested deeper than the pattern reads are closed by counting
+    deep = F.when(entry == "", body)
+    return F.when(entry != "", entry).otherwise(_first_entry(deep))
+
+
+@F.pandas_udf(T.StringType())
+def _first_entry(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: None if b is None else first_entry(b))
+
+
+def first_entry(body: str) -> str:
+    """The first entry of a text, of any depth; all from the first @ on if it isn't closed, empty without one."""
+    head = re.search(r"@\w+\s*\{", body)
+    if head and (close := closing(body, head.end() - 1)) is not None:
+        return body[head.start() : close + 1]
+    at = body.find("@")
+    return body[at:].strip(" ") if at >= 0 else ""
+
+
+def closing(text: str, at: int) -> int | None:
+    """Place of the brace that closes the one at ``at``; escaped braces don't count."""
+    depth = 0
+    for m in re.compile(r"\\.|[{}]", re.S).finditer(text, at):
+        depth += (m[0] == "{") - (m[0] == "}")
+        if not depth:
+            return m.start()
+    return None

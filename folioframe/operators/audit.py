@@ -288,7 +288,7 @@ def findings(entries: DataFrame, only: list[str] | None = None, keep: tuple[str,
 
 def by_rule(found: DataFrame) -> DataFrame:
     """Findings per rule, most frequent first."""
-    return found.groupBy("rule").agg(F.count("*").alias("n"))
+    return found.groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule")
 
 
 def samples(found: DataFrame, n: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.operators.scan import field_rows, swallowed_fields
-from folioframe.schema import PROTECTED
+from folioframe.schema import NORMALIZE_PROTECTED
 
 
 def _ordered(scanned: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def opaque_changed(docs_before: DataFrame, before: DataFrame, docs_after: DataFr
     return b.exceptAll(a).unionAll(a.exceptAll(b))
 
 
-def protected_changed(before: DataFrame, after: DataFrame, pattern: str = PROTECTED) -> DataFrame:
+def protected_changed(before: DataFrame, after: DataFrame, pattern: str = NORMALIZE_PROTECTED) -> DataFrame:
     """Protected fields in one version and not in the other."""
     pick = lambda d: field_rows(d).filter(F.col("key").rlike(pattern)).groupBy("doc", "citekey", "key", "value").count()
     b, a = pick(before), pick(after)

@@ -36,19 +36,29 @@ def _replace(cond: Column, key: str, new: Column, rule: str) -> Column:
     return _edit(cond & (new != val(key)), fld(key)["vstart"], fld(key)["vend"], new, rule, key, val(key), new)
 
 
+def on_own_line(key: str) -> Column:
+    """Whether a field opens a line of its own; other layouts are not rewritten."""
+    return fld(key)["lead"].rlike(r"^\n[ \t]*$")
+
+
 def _remove(cond: Column, key: str, rule: str) -> Column:
-    """Field with the comma before it, so that no two removals meet on one comma."""
-    f = fld(key)
+    """Field with the comma before it, so that no two removals meet on one comma; null for an unknown layout."""
+    f, cond = fld(key), cond & on_own_line(key)
     last = f["ord"] == F.size("fields") - 1
     return _edit(cond, f["start"] - 1, F.when(last, f["vend"] + 1).otherwise(f["end"]), F.lit(""), rule, key, val(key), F.lit(None).cast("string"))
 
 
 def en_dashed(v: Column) -> Column:
     """Ascending numeric ranges with an en dash; others stay."""
-    found = F.array_distinct(F.regexp_extract_all(v, F.lit(r"(?<![\d.-])(\d+\s*-\s*\d+)(?![\d.-])"), F.lit(1)))
-    number = lambda m, i: F.regexp_extract(m, r"(\d+)\s*-\s*(\d+)", i).try_cast("bigint")
-    rising = F.filter(found, lambda m: number(m, 2) > number(m, 1))
-    return F.aggregate(rising, v, lambda acc, m: F.replace(acc, m, F.concat(number(m, 1).cast("string"), F.lit("--"), number(m, 2).cast("string"))))
+    digits = lambda m, i: F.regexp_extract(m, r"(\d+)\s*-\s*(\d+)", i)
+    # numbers of any length: without leading zeros the longer one is greater
+    size = lambda m, i: F.regexp_replace(digits(m, i), r"^0+(?=\d)", "")
+    rises = lambda m: (F.length(size(m, 2)) > F.length(size(m, 1))) | ((F.length(size(m, 2)) == F.length(size(m, 1))) & (size(m, 2) > size(m, 1)))
+    # by match, not by text: what stands between the matches is kept as it is
+    between = F.split(v, _RANGE, -1)
+    ranges = F.regexp_extract_all(v, F.lit(_RANGE), F.lit(0))
+    new = F.transform(ranges, lambda m: F.when(rises(m), F.concat(digits(m, 1), F.lit("--"), digits(m, 2))).otherwise(m))
+    return F.when(v.rlike(_RANGE), F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.get(new, i), F.lit("")))), "")).otherwise(v)
 
 
 def _split(parent: str) -> dict[str, Column]:
@@ -60,7 +70,7 @@ def _split(parent: str) -> dict[str, Column]:
     at_colon, at_mark = n == 1, (n == 0) & ~v.contains(": ") & (p["stop"] < 0) & (mark > 0) & (latex.terminal_marks(p) == 1)
     head = F.when(at_colon, F.regexp_replace(F.substring(v, F.lit(1), colon - 1), r"(?:[~\s]|\\[, ])+$", "")).otherwise(F.substring(v, F.lit(1), mark))
     tail = F.trim(F.when(at_colon, F.substring(v, colon + 1, F.length(v))).otherwise(F.substring(v, mark + 1, F.length(v))))
-    able = has(parent) & ~has(SUBTITLE_OF[parent]) & (F.col("etype") != "review") & (at_colon | at_mark)
+    able = has(parent) & on_own_line(parent) & ~has(SUBTITLE_OF[parent]) & (F.col("etype") != "review") & (at_colon | at_mark)
     whole = (head != "") & (tail != "")
     return {"do": F.coalesce(able & whole, F.lit(False)), "empty": able & ~whole, "head": head, "tail": tail, "n": n, "mark": mark}
 
@@ -79,7 +89,7 @@ def plan(entries: DataFrame, keep: tuple[str, ...] = ("doc", "ord", "citekey"))
     for k, sub in SUBTITLE_OF.items():
         s, v, p, f = split[k], val(k), F.col(f"p_{k}"), fld(k)
         rule = f"split-{k}"
-        indent = F.lit("\n\t")
+        indent = f["lead"]
         name = F.when(f["name"] == f["key"], F.lit(sub)).otherwise(F.initcap(F.lit(sub)))
         edits.append(_edit(s["do"], f["start"], f["start"], F.concat(indent, name, F.lit(" = {"), en_dashed(s["tail"]), F.lit("},")), rule, sub, v, s["tail"]))
         edits.append(_edit(s["do"], f["vstart"], f["vend"], en_dashed(s["head"]), rule, k, v, s["head"]))
@@ -92,6 +102,7 @@ def plan(entries: DataFrame, keep: tuple[str, ...] = ("doc", "ord", "citekey"))
         report(plain & (p["stop"] >= 0), "full-stop-boundary-REVIEW", v)
         report(plain & (p["stop"] < 0) & (s["mark"] > 0) & (latex.terminal_marks(p) > 1), "multi-terminal-mark-REVIEW", v)
         report(s["empty"], "skipped-empty-half", v)
+        report(open_ & (s["n"] == 1) & ~on_own_line(k), "skipped-unparsable-layout", v)
     t = split["title"]
     done = t["do"] | has("subtitle")
     # after the split the title is its head, which has no boundary left
@@ -110,6 +121,7 @@ def plan(entries: DataFrame, keep: tuple[str, ...] = ("doc", "ord", "citekey"))
         report(has(k) & (numbers(4) <= numbers(1)), "hyphen-not-a-range-REVIEW", F.concat(F.lit(f"{k}: "), val(k)))
     for k in FORBIDDEN:
         edits.append(_remove(has(k), k, f"drop-{k}"))
+        report(has(k) & ~on_own_line(k), "skipped-unparsable-layout", F.concat(F.lit(f"{k}: "), val(k)))
     url = F.trim(val("url"))
     mirrors = F.transform(F.filter("fields", lambda x: x["key"].rlike("^(bdsk-url|remote-url)")), lambda x: F.trim(x["value"]))
     mirrored = F.array_contains(mirrors, url)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.schema import PROTECTED, TRAILING
+from folioframe.schema import PROTECTED
 
 OPERATIONS = ["set", "add", "delete", "retype", "dropentry", "noop"]
 _PATCH_PROTECTED = PROTECTED[:-2] + "|keywords)$"
@@ -45,12 +45,13 @@ def blocked(check: DataFrame) -> bool:
     return not check.filter("status = 'problem'").isEmpty()
 
 
-def _place(key: Column, ord_: Column) -> tuple[Column, Column]:
-    return F.when(key.rlike(TRAILING), 1).otherwise(0), ord_
+def applied(fields: DataFrame, check: DataFrame) -> DataFrame:
+    """``patched`` for a list without problems; the fields unchanged if any operation is one."""
+    return fields.select("citekey", "etype", "key", "name", "value") if blocked(check) else patched(fields, check)
 
 
 def patched(fields: DataFrame, check: DataFrame) -> DataFrame:
-    """(citekey, etype, key, name, value) after the operations with status ok; order is (anchor, added)."""
+    """(citekey, etype, key, name, value) after the operations with status ok; see ``applied`` for a list that may be written."""
     ok = check.filter("status = 'ok'")
     last = lambda op: ok.filter(F.col("op") == op).groupBy(F.col("key").alias("citekey"), F.col("fkey").alias("key")).agg(F.max_by("value", "op_ord").alias("new"))
     gone = ok.filter("op = 'delete'").select(F.col("key").alias("citekey"), F.col("fkey").alias("key")).distinct()

@@ -22,10 +22,10 @@ _NAME = re.compile(r"\s*([A-Za-z][A-Za-z0-9_+:-]*)\s*=\s*")
 OPAQUE = frozenset(("comment", "preamble", "string"))
 
 
-def _body(text: str, at: int) -> tuple[int | None, list[int]]:
-    """End of the group that opens at ``at`` (None if unbalanced), and its top-level commas."""
+def _body(text: str, at: int, stop: int | None = None) -> tuple[int | None, list[int]]:
+    """End of the group that opens at ``at`` (None if unbalanced before ``stop``), and its top-level commas; nothing is copied."""
     depth, quoted, commas = 0, False, []
-    for m in _EVENT.finditer(text, at):
+    for m in _EVENT.finditer(text, at, len(text) if stop is None else stop):
         c = m[0]
         if c == "{":
             depth += 1
@@ -46,7 +46,7 @@ def _value(text: str, start: int, end: int) -> tuple[int, int]:
     while end > start and text[end - 1].isspace():
         end -= 1
     if start < end and text[start] == "{":
-        close, _ = _body(text[:end], start)
+        close, _ = _body(text, start, end)
         return start + 1, end if close is None else close
     if start < end and text[start] == '"':
         close = text.find('"', start + 1, end)
@@ -82,7 +82,7 @@ def scan(text: str) -> list[dict]:
                 m = _NAME.match(text, a + 1, b)
                 if m:
                     vs, ve = _value(text, m.end(), b)
-                    fields.append({"ord": len(fields), "name": m[1], "key": m[1].lower(), "value": text[vs:ve], "start": a + 1, "end": b, "vstart": vs, "vend": ve})
+                    fields.append({"ord": len(fields), "name": m[1], "key": m[1].lower(), "value": text[vs:ve], "lead": text[a + 1 : m.start(1)], "start": a + 1, "end": b, "vstart": vs, "vend": ve})
             rows.append({"kind": "entry", "etype": etype, "citekey": text[brace + 1 : cuts[0]].strip(), "start": head.start(), "end": close + 1, "fields": fields})
         pos = close + 1
     opaque(pos, len(text))

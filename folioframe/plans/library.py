@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import audit, gates, normalize, patch, render, scan
 from folioframe.plans.lib_sql import DUCK, lib_documents, lib_parsed, lib_scanned
-from folioframe.session import table
+from folioframe.session import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -255,10 +255,12 @@ def _(spark, sf):
 
 
 def _rewritten(spark, sf):
-    docs = lib_documents(spark, sf)
-    scanned = scan.scan_documents(docs)
+    # the text, its scan and its edits are each used several times
+    docs = cut(lib_documents(spark, sf))
+    scanned = cut(scan.scan_documents(docs))
     edits = normalize.edits_of(normalize.plan(scan.entries(scanned)))
-    return docs, scanned, edits, render.apply_edits(docs, edits)
+    edits = cut(edits)
+    return docs, scanned, edits, cut(render.apply_edits(docs, edits))
 
 
 @query("n_length_law", "SELECT path || '#' || CAST(entry_ord // 500 AS VARCHAR) AS doc, true AS ok FROM bib_entry GROUP BY 1")
@@ -314,8 +316,9 @@ def _ops(spark, sf):
 
 
 def _checked(spark, sf):
-    s = lib_scanned(spark, sf)
-    return patch.checked(_ops(spark, sf), s.filter("kind = 'entry'").select("citekey"), scan.field_rows(s))
+    # written once: the operations meet its entries and its fields
+    s = cut(lib_scanned(spark, sf).filter("kind = 'entry'").select("citekey", F.expr("transform(fields, x -> x.key)").alias("keys")))
+    return patch.checked(_ops(spark, sf), s.select("citekey"), s.select("citekey", F.explode("keys").alias("key")))
 
 
 @query("e_problems", _DUCK_OPS + "SELECT op_ord, op, key, CASE WHEN message = 'already absent' THEN 'note' WHEN message IS NOT NULL THEN 'problem' ELSE 'ok' END AS status, message FROM res")
@@ -333,6 +336,7 @@ def _(spark, sf):
     "SELECT coalesce(t.new, k.etype) AS etype, k.key, k.value, count(*) AS n FROM kept k LEFT JOIN t USING (citekey) GROUP BY ALL",
 )
 def _(spark, sf):
-    s = scan.field_rows(lib_scanned(spark, sf))
-    p = patch.patched(s.select("citekey", "etype", "key", "name", "value"), _checked(spark, sf))
+    s = cut(scan.field_rows(lib_scanned(spark, sf)))
+    # problems block a list, so the operations without one are given as a list of their own
+    p = patch.applied(s.select("citekey", "etype", "key", "name", "value"), cut(_checked(spark, sf).filter("status <> 'problem'")))
     return p.groupBy("etype", "key", "value").agg(F.count("*").alias("n"))

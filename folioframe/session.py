@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +20,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     set_dir = spark.sparkContext.getCheckpointDir()
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None:
+        if not wanted and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(wanted or LOCAL_CHECKPOINT_DIR)
     return wanted or set_dir or LOCAL_CHECKPOINT_DIR
 
@@ -32,8 +34,3 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -46,8 +46,9 @@ def bookmark_url(content: pd.Series) -> pd.Series:
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
     """Patch operations in the order of the list."""
-    ops = spark.read.schema("op string, key string, field string, value string, why string").option("multiLine", "true").json(path)
-    return ops.select((F.monotonically_increasing_id() + 1).cast("int").alias("op_ord"), "op", "key", "field", "value", "why").select(*(c.split()[0] for c in PATCH.split(", ")))
+    kind = "array<struct<op:string,key:string,field:string,value:string,why:string>>"
+    ops = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("at", "o"))
+    return ops.select((F.col("at") + 1).alias("op_ord"), "o.*").select(*(c.split()[0] for c in PATCH.split(", ")))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
