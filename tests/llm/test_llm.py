@@ -287,6 +287,25 @@ def test_furniture_of_one_small_host_among_many(spark):
     assert {no for cid, no in got if cid < 6} == {1, 2} and len(got) == 2 * 606
 
 
+def test_main_body_without_any_list(spark):
+    """Furniture of invented words, learned from the corpus alone."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["ba", "do", "ki", "lu", "me", "no", "ri", "sa", "tu", "ve"]) for _ in range(3))
+    sentence = lambda: f"{word().title()} " + " ".join(word() for _ in range(11)) + "."
+    menus, heads, notes, sections = [word().title() for _ in range(8)], [word().title() + " " + word() for _ in range(2)], [sentence() for _ in range(3)], [word().title() for _ in range(3)]
+    pages, truth = [], set()
+    for i in range(240):
+        host = f"h{i % 12}"
+        lines = [(" | ".join(rng.sample(menus, 4)), 0), (" ".join(rng.sample(menus, 3)), 0), (rng.choice(notes), 0), (" ".join(word() for _ in range(5)).title(), 1)]
+        for s in rng.sample(sections, 2):
+            lines += [(s, 1), (sentence() + " " + sentence(), 1), (sentence(), 1)]
+        lines += [(rng.choice(heads), 0), *((" ".join(word() for _ in range(4)).title(), 0) for _ in range(3)), (rng.choice(menus), 0), (f"{host} {2000 + i % 9} {notes[0][:20]}", 0)]
+        truth |= {(i, k + 1) for k, (_, body) in enumerate(lines) if body}
+        pages.append((i, "\n".join(t for t, _ in lines), None, "webpage", host))
+    got = {(r.content_id, r.line_no) for r in boilerplate.main_body(boilerplate.web_pages(spark.createDataFrame(pages, SRC.replace("name", "host")))).collect()}
+    assert len(got & truth) >= 0.95 * len(truth) and len(got & truth) >= 0.95 * len(got)
+
+
 # ---- 6 ledger
 
 
