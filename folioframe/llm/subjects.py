@@ -1,15 +1,17 @@
 """Subject areas of documents: one-versus-rest linear classifiers on hashed word n-grams.
 
 Every text is cut into statements (sentences, title lines, annotation fields). A statement is a bag
-of hashed words and word pairs; one linear classifier per area scores it. The documents have no
-addresses, so the weak labels come from the areas given for some documents, and spread from
-there: a word votes for the area that holds at least half of its occurrences, a statement takes
+of hashed words and word pairs; one linear classifier per area scores it. The weak labels come from
+the documents' metadata (``META``: source, label, kind, and the journal or site named in a text),
+as far as a value's given documents agree on an area, and from the areas given for some documents;
+they spread from there: a word votes for the area that holds at least half of its occurrences, a statement takes
 the area of its words' votes, and the words of a document's other statements learn from it, round
 by round. Words without an area of their own (grammar, set phrases, names) never vote, so a
 language that few given documents are in isn't drawn to their areas. The classifiers are fitted on
 the statements labelled so; those without votes are negatives for every area. A document's share
-of an area is the part of its classified statements that belongs to it; the share from which the
-area is assigned is calibrated on the documents with given areas, by the best F1.
+of an area is the part of its classified statements that belongs to it; the share from which an
+area is assigned is calibrated by the best F1 on the documents with given areas, of which one in
+``HELD`` is held out of the fit and weighs accordingly, for each area beside the common one.
 
 The fit uses a bounded sample (``FIT_DOCUMENTS``); all documents are classified. The weights have a
 fixed size and are what the workers receive.
@@ -35,7 +37,11 @@ from pyspark.sql import types as T
 from folioframe.llm.confusables import plain_text
 
 #: Documents that the classifiers are fitted on (given areas first), and the hashed width.
-FIT_DOCUMENTS, WIDTH = 8_000, 1 << 16
+FIT_DOCUMENTS, WIDTH = 8_000, 1 << 18
+#: One in so many of the documents with given areas is held out for the calibration.
+HELD = 5
+#: Columns whose values may give weak labels, the given documents a value needs for it and how many of them must agree.
+META, META_GIVEN, META_AGREE = ("source", "label", "doc_kind"), 5, 0.8
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-6
 #: Share of letters below which a text is noise; library files, with all their marks, have three quarters.
 LETTERS = 0.7
@@ -49,13 +55,13 @@ GRAMMAR = 0.15
 
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-­]\s*\n\s*(?=[^\W\d_])")
 _HEAD = re.compile(r"^\s*(?:Author|Editor|Journal|Publisher|Volume|Vo1ume|Number|Pages|PublicationDate|Date|Language|Year|Location|SiteName)\s*[:=].*$", re.I | re.M)
+_SITE = r"(?im)^\s*(?:Journal|SiteName|Publisher)\s*[:=]\s*(.+?)\s*$"
 _STATEMENT = re.compile(r"(?<=[.?!])\s+|\n\s*\n|\n(?=\s*(?:@|\w+ = \{|Title:|Annotation))|\}\s*,")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _FOLD = str.maketrans({"c": "e", "1": "l", "0": "o", "ø": "o"})
 _BLANK = re.compile(r"[\s​‌‍⁠﻿­]*")
 
 
-@lru_cache(maxsize=32768)
 def _fold(word: str) -> str:
     """A word as features see it: no accents, and letters that scans confuse made equal."""
     w = unicodedata.normalize("NFKD", word)
@@ -78,18 +84,21 @@ def statements(text: str | None) -> list[list[int]]:
     text = re.sub(r"(?<=[^\W_])[10](?=[^\W\d_])", lambda m: "l" if m[0] == "1" else "o", text)
     out = []
     for piece in _STATEMENT.split(text):
-        words = [_fold(w) for w in _WORD.findall(piece or "")]
+        words = [_hash(w) for w in _WORD.findall(piece or "")]
         if len(words) < 2:
             continue
-        feats = {_hash(w) & ~1 for w in words}  # words are even, pairs odd
-        feats.update(_hash(a + "_" + b) | 1 for a, b in zip(words, words[1:]))
+        feats = {w & _EVEN for w in words}  # words are even, pairs odd
+        feats.update(((a * 0x9E3779B1 ^ b * 0x85EBCA6B) >> 7) & _EVEN | 1 for a, b in zip(words, words[1:]))
         out.append(sorted(feats))
     return out
 
 
-@lru_cache(maxsize=65536)
-def _hash(gram: str) -> int:
-    return zlib.crc32(gram.encode()) & (WIDTH - 1)
+_EVEN = WIDTH - 2
+
+
+@lru_cache(maxsize=131072)
+def _hash(word: str) -> int:
+    return zlib.crc32(_fold(word).encode())
 
 
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,11 +118,11 @@ def probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[list[int]])
     return 1 / (1 + np.exp(-np.clip(z / np.sqrt(n)[:, None] + bias, -30, 30)))
 
 
-def spread(docs: list[tuple[list[list[int]], set[int] | None]], k: int, langs: list[str | None] | None = None) -> list[np.ndarray]:
+def spread(docs: list[tuple[list[list[int]], set[int] | None]], k: int, langs: list[str | None] | None = None, weak: list[int | None] | None = None) -> list[np.ndarray]:
     """Weak labels: for every document the (statement, area) weights that its words' votes give.
 
     ``langs`` are the documents' languages as far as known; words that are common in any of them
-    do not vote.
+    do not vote. ``weak`` are the areas that the metadata of documents speak for.
     """
     rows = [r for d, _ in docs for r in d]
     if not rows:
@@ -139,6 +148,9 @@ def spread(docs: list[tuple[list[list[int]], set[int] | None]], k: int, langs: l
             allowed[i] = False
             allowed[i, sorted(c)] = True
     p[given[doc]] = (allowed / allowed.sum(1, keepdims=True))[doc][given[doc]]
+    for i, j in enumerate(weak or []):
+        if j is not None and not given[i]:
+            p[doc == i, j] = 0.5
     prior = np.maximum(p.sum(0), 1.0)
     prior /= prior.sum()
     for _ in range(ROUNDS):
@@ -201,17 +213,24 @@ def shares(p: np.ndarray, sure: float = SURE) -> np.ndarray:
 
 
 class Model:
-    """Fitted areas, weights and the calibrated share."""
+    """Fitted areas, weights and the calibrated share of each area."""
 
-    def __init__(self, areas: list[str], w: np.ndarray, b: np.ndarray, share: float) -> None:
+    def __init__(self, areas: list[str], w: np.ndarray, b: np.ndarray, share: np.ndarray) -> None:
         self.areas, self.w, self.b, self.share = areas, w, b, share
 
     def areas_of(self, text: str | None) -> list[str]:
-        rows = statements(text)
-        if not rows:
-            return []
-        s = shares(probabilities(self.w, self.b, rows))
-        return [a for a, x in zip(self.areas, s) if x >= self.share and x > 0]
+        return self.areas_of_all([text])[0]
+
+    def areas_of_all(self, texts: list[str | None]) -> list[list[str]]:
+        """Areas of every text; the statements of a few hundred texts are scored at once."""
+        out = []
+        for at in range(0, len(texts), 256):
+            docs = [statements(t) for t in texts[at : at + 256]]
+            p = probabilities(self.w, self.b, [r for d in docs for r in d])
+            for part in np.split(p, np.cumsum([len(d) for d in docs])[:-1]):
+                s = shares(part)
+                out.append([a for a, x, t in zip(self.areas, s, self.share) if x >= t and x > 0])
+        return out
 
 
 def _best_share(given: list[set[int]], found: list[np.ndarray]) -> float:
@@ -228,6 +247,35 @@ def _best_share(given: list[set[int]], found: list[np.ndarray]) -> float:
     return float(np.median(best))
 
 
+def _area_shares(given: list[set[int]], found: list[np.ndarray], k: int, common: float) -> np.ndarray:
+    """The share of each area with its best F1; of equally good ones the nearest to the common one."""
+    out = np.full(k, common)
+    for j in range(k):
+        best = -1.0
+        for t in sorted(np.arange(0.10, 0.46, 0.01), key=lambda t: abs(t - common)):
+            got = [s[j] >= t and s[j] > 0 for s in found]
+            tp = sum(g and j in c for g, c in zip(got, given))
+            f1 = 2 * tp / max(1, sum(got) + sum(j in c for c in given))
+            if f1 > best + 1e-9:
+                best, out[j] = f1, t
+    # few documents say little about one area: halfway between its own share and the common one
+    return (out + common) / 2
+
+
+def weak_areas(meta: list[tuple], codes: list[set[int] | None]) -> list[int | None]:
+    """The area that a document's metadata speak for: most given documents with one of its values have it."""
+    count: dict[tuple, dict[int, int]] = {}
+    total: dict[tuple, int] = {}
+    for values, c in zip(meta, codes):
+        for v in enumerate(values):
+            if c and v[1]:
+                total[v] = total.get(v, 0) + 1
+                for j in c:
+                    count.setdefault(v, {})[j] = count.get(v, {}).get(j, 0) + 1
+    says = {v: j for v, n in total.items() if n >= META_GIVEN for j, m in count[v].items() if m >= META_AGREE * n and len(count[v]) < n}
+    return [next((says[v] for v in enumerate(values) if v in says), None) for values in meta]
+
+
 def train(documents: DataFrame, sample: DataFrame, bound: int = FIT_DOCUMENTS) -> Model | None:
     """Model from at most ``bound`` documents, those with given areas first."""
     spark = documents.sparkSession
@@ -236,22 +284,27 @@ def train(documents: DataFrame, sample: DataFrame, bound: int = FIT_DOCUMENTS) -
     if not n_given:
         return None
     part = lambda want, have: F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, want / max(1, have))))
-    known = documents.join(given.filter(part(bound // 2, n_given)), "doc_id").select("doc_id", "lang", "text", "codes")
-    other = documents.join(given, "doc_id", "left_anti").filter(part(bound - min(n_given, bound // 2), n_all)).select("doc_id", "lang", "text", F.lit(None).cast("array<string>").alias("codes"))
+    meta = F.array(*(F.col(c).cast("string") for c in META if c in documents.columns), F.nullif(F.regexp_extract("text", _SITE, 1), F.lit(""))).alias("meta")
+    known = documents.join(given.filter(part(bound // 2, n_given)), "doc_id").select("doc_id", "lang", "text", meta, "codes")
+    other = documents.join(given, "doc_id", "left_anti").filter(part(bound - min(n_given, bound // 2), n_all)).select("doc_id", "lang", "text", meta, F.lit(None).cast("array<string>").alias("codes"))
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def feats(texts: pd.Series) -> pd.Series:
         return texts.map(statements)
 
-    rows = known.unionByName(other).select("doc_id", "lang", "codes", feats("text").alias("rows")).toPandas()  # at most ``bound`` rows
+    rows = known.unionByName(other).select("doc_id", "lang", "meta", "codes", feats("text").alias("rows")).toPandas()  # at most ``bound`` rows
     rows = rows.sort_values("doc_id")
     areas = sorted({c for cs in rows["codes"] if cs is not None for c in cs})
     of = {a: i for i, a in enumerate(areas)}
     docs = [([list(map(int, r)) for r in d], None if c is None else {of[x] for x in c}) for d, c in zip(rows["rows"], rows["codes"])]
     if len(areas) < 2:
         return None
+    held = [i for i, (d, c) in enumerate(docs) if c is not None and d][::HELD]
+    away = {i: docs[i][1] for i in held}
+    fitted = [(d, None if i in away else c) for i, (d, c) in enumerate(docs)]
+    weak = weak_areas([tuple(m) for m in rows["meta"]], [c for _, c in fitted])
     x, y = [], []
-    for (d, _), label in zip(docs, spread(docs, len(areas), list(rows["lang"]))):
+    for (d, _), label in zip(fitted, spread(fitted, len(areas), list(rows["lang"]), weak)):
         for r, v in zip(d, label):
             if v.max() >= 0.6 or (v.max() == 0 and len(d) > 2):
                 x.append(r)
@@ -259,8 +312,12 @@ def train(documents: DataFrame, sample: DataFrame, bound: int = FIT_DOCUMENTS) -
     if not x:
         return None
     w, b = fit(x, np.stack(y))
-    labelled = [(c, shares(probabilities(w, b, d))) for d, c in docs if c is not None and d]
-    return Model(areas, w, b, _best_share([c for c, _ in labelled], [s for _, s in labelled]))
+    # those held out weigh as much as all the fitted ones, which are many enough to tell near shares apart
+    known_ = [i for i, (d, c) in enumerate(docs) if c is not None and d]
+    at = {i: shares(probabilities(w, b, docs[i][0])) for i in known_}
+    order = [i for i in known_ for _ in range(HELD - 1 if i in away else 1)]
+    codes, found_ = [docs[i][1] for i in order], [at[i] for i in order]
+    return Model(areas, w, b, _area_shares(codes, found_, len(areas), _best_share(codes, found_)))
 
 
 def classify(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -271,8 +328,7 @@ def classify(documents: DataFrame, model: Model | None) -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def areas(texts: pd.Series) -> pd.Series:
-        m = bc.value
-        return texts.map(m.areas_of)
+        return pd.Series(bc.value.areas_of_all(list(texts)), dtype=object)
 
     return documents.select("doc_id", F.explode(areas("text")).alias("subject_code"))
 

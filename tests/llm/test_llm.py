@@ -428,3 +428,10 @@ def test_noise_blank_and_no_given_areas(spark):
         assert m is None or m.areas_of(t) == []
     none = spark.createDataFrame([], "doc_id bigint, subject_code string")
     assert subjects.found(docs, none).count() == 0 and subjects.found(docs.limit(0), none).count() == 0
+
+
+def test_metadata_that_agrees_is_a_weak_label():
+    meta = [("s1", None), ("s1", None), ("s1", None), ("s1", None), ("s1", None), ("s1", None), ("s2", "x"), (None, None)]
+    codes = [{0}, {0, 1}, {0}, {0}, {0}, None, None, None]
+    assert subjects.weak_areas(meta, codes) == [0, 0, 0, 0, 0, 0, None, None]
+    assert subjects.weak_areas(meta, [{i % 3} for i in range(8)]) == [None] * 8 and subjects.weak_areas([], []) == []
