@@ -41,7 +41,7 @@ FIT_DOCUMENTS, WIDTH = 8_000, 1 << 18
 #: One in so many of the documents with given areas is held out for the calibration.
 HELD = 5
 #: Columns whose values may give weak labels, the given documents a value needs for it and how many of them must agree.
-META, META_GIVEN, META_AGREE = ("source", "label", "doc_kind"), 5, 0.8
+META, META_GIVEN, META_AGREE = ("source", "label", "doc_kind"), 20, 0.8
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-6
 #: Share of letters below which a text is noise; library files, with all their marks, have three quarters.
 LETTERS = 0.7
@@ -300,13 +300,12 @@ def train(documents: DataFrame, sample: DataFrame, bound: int = FIT_DOCUMENTS) -
     if len(areas) < 2:
         return None
     held = [i for i, (d, c) in enumerate(docs) if c is not None and d][::HELD]
-    away = {i: docs[i][1] for i in held}
-    fitted = [(d, None if i in away else c) for i, (d, c) in enumerate(docs)]
-    weak = weak_areas([tuple(m) for m in rows["meta"]], [c for _, c in fitted])
+    away = set(held)
+    weak = weak_areas([tuple(m) for m in rows["meta"]], [c for _, c in docs])
     x, y = [], []
-    for (d, _), label in zip(fitted, spread(fitted, len(areas), list(rows["lang"]), weak)):
+    for i, ((d, _), label) in enumerate(zip(docs, spread(docs, len(areas), list(rows["lang"]), weak))):
         for r, v in zip(d, label):
-            if v.max() >= 0.6 or (v.max() == 0 and len(d) > 2):
+            if i not in away and (v.max() >= 0.6 or (v.max() == 0 and len(d) > 2)):
                 x.append(r)
                 y.append((v >= 0.6).astype("float32"))
     if not x:

@@ -431,7 +431,7 @@ def test_noise_blank_and_no_given_areas(spark):
 
 
 def test_metadata_that_agrees_is_a_weak_label():
-    meta = [("s1", None), ("s1", None), ("s1", None), ("s1", None), ("s1", None), ("s1", None), ("s2", "x"), (None, None)]
-    codes = [{0}, {0, 1}, {0}, {0}, {0}, None, None, None]
-    assert subjects.weak_areas(meta, codes) == [0, 0, 0, 0, 0, 0, None, None]
-    assert subjects.weak_areas(meta, [{i % 3} for i in range(8)]) == [None] * 8 and subjects.weak_areas([], []) == []
+    meta = [("s1", None)] * 25 + [("s2", "x"), (None, None)]
+    codes = [{0}] * 19 + [{0, 1}, {2}] + [None] * 6
+    assert subjects.weak_areas(meta, codes) == [0] * 25 + [None, None]
+    assert subjects.weak_areas(meta, [{i % 3} for i in range(27)]) == [None] * 27 and subjects.weak_areas([], []) == []
