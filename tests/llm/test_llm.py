@@ -3,6 +3,7 @@
 import datetime
 import glob
 import itertools
+import math
 import os
 import random
 from collections import Counter, defaultdict
@@ -252,6 +253,21 @@ def test_buckets_are_shared_as_often_at_every_size(spark, bits):
     assert 1 - (1 - 0.85**bits) ** n >= 0.968 and 1 - (1 - 0.85**bits) ** (n // 2) >= 0.82
 
 
+def test_confidence_by_a_held_out_attribute(spark):
+    """Pairs with equal titles agree in their years nine times of ten, pairs without likeness once of ten."""
+    rows = [(1.0, i % 10 > 0) for i in range(1000)] + [(0.1, i % 10 == 0) for i in range(1000)]
+    a, b, chance = linkage._calibrated(spark.createDataFrame(rows, "cosine double, agree boolean"))
+    at = lambda x: 1 / (1 + math.exp(-(a * x + b)))
+    assert abs(at(1.0) - 0.9) < 0.02 and abs(at(0.1) - 0.1) < 0.02 and abs(chance - 0.1) < 0.01
+    assert linkage._calibrated(spark.createDataFrame([], "cosine double, agree boolean"))[2] == linkage.CHANCE
+
+
+def test_works_of_equal_score_all_match(spark):
+    b = bib(spark, [("Quandt, O.", "Gardens of the Northern Coast", "1933", None), (None, "Gardens of the Northern Coast", "1933", None)])
+    w = spark.createDataFrame([work(i, "Gardens of the Northern Coast", None, [("Quandt", "Otto")], 1933) for i in (3, 4)], WORK)
+    assert {(r.entry_id, r.work_id) for r in linkage.matches(spark, b, w).collect()} == {(0, 3), (0, 4), (1, 3), (1, 4)}
+
+
 # ---- 5 boilerplate
 
 
