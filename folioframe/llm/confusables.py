@@ -130,17 +130,19 @@ _ROMAN = re.compile(r"[IVXLCDM]+$")
 _DASHES = re.compile("[‐‑‒—―⁃−﹘﹣－˗۔➖⸺⸻]")
 _BETWEEN_DIGITS = re.compile(r"(?<=\d)[OoIl]+(?=[\dOoIl]*(?:\b|\d))|\b[OIl](?=\d)")
 
+#: A word that is a number of three and more digits but for look-alikes: 19O4, but neither H2O, O157 nor 5l.
+_NUMBER = re.compile(r"(?<![^\W_])(?!O)(?=[OoIl]*\d[OoIl]*\d)(?=\d*[OoIl])[\dOoIl]{3,}(?![^\W_])")
 
 #: Text of composed Latin letters, ordinary spaces and typographic marks is plain as it stands.
-_LATIN = re.compile("[\n\r\t -~¡-¬®-ıĴ-ňŊ-ž‘-‟–—…]*")
+_LATIN = re.compile("[\n\r\t -~¡-¬®-ıĴ-ľŁ-ňŊ-ž‘-‟–—…]*")
 
 
 def plain_text(text: str, field: str = "title") -> str:
     """The consistent form of a value; ``field`` is 'title' or 'pages'."""
     if text.isascii():
-        if not re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text) and not _BETWEEN_DIGITS.search(text):
+        if not re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text) and not (_BETWEEN_DIGITS if field == "pages" else _NUMBER).search(text):
             return text
-    elif field == "title" and _LATIN.fullmatch(text) and not _BETWEEN_DIGITS.search(text):
+    elif field == "title" and _LATIN.fullmatch(text) and not _NUMBER.search(text):
         return text
     out = unicodedata.normalize("NFC", text)
     out = unicodedata.normalize("NFC", "".join(map(plain_char, out)))
@@ -176,8 +178,11 @@ def plain_text(text: str, field: str = "title") -> str:
             out = "".join(_TO["LATIN"].get(ch, ch) for ch in out)
         else:
             out = _WORD.sub(fix, out)
-    out = _BETWEEN_DIGITS.sub(lambda m: "".join(DIGIT_LIKE[c] for c in m[0]), out)
-    return out
+    return _BETWEEN_DIGITS.sub(_digits, out) if field == "pages" else _NUMBER.sub(_digits, out)
+
+
+def _digits(m: re.Match) -> str:
+    return "".join(DIGIT_LIKE.get(c, c) for c in m[0])
 
 
 def plain_column(column: Column | str, field: str) -> Column:

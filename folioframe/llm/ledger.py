@@ -34,12 +34,16 @@ def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: Combining marks, jamo, and the blocks of characters that composition replaces.
+_COMPOSABLE = r"\p{M}|[\x{340}-\x{387}\x{958}-\x{95F}\x{1100}-\x{11FF}\x{1F00}-\x{1FFF}\x{2126}-\x{212B}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}\x{F900}-\x{FB4F}\x{2F800}-\x{2FA1F}]"
+
+
 def letters_digits(col: Column) -> Column:
     """Letters and digits of a value in their order, lower case; accents are part of the letter.
 
-    Only values with combining marks pass through Python; for all others a null crosses.
+    Only values with characters that composition may change pass through Python; for all others a null crosses.
     """
-    marked = col.rlike(r"\p{M}")
+    marked = col.rlike(_COMPOSABLE)
     composed = F.when(marked, _compose(F.when(marked, col))).otherwise(col)
     return F.lower(F.regexp_replace(composed, r"[^\p{L}\p{N}\p{M}]", ""))
 
@@ -87,8 +91,21 @@ def merge_ledger(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def update_ledger(spark, path: str, batch: DataFrame) -> None:
-    """Apply a batch to the ledger stored at ``path``, touching only the batch's buckets."""
+_MARK = "batch:"
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    """The ledger's rows, without the marks of its batches."""
+    return spark.read.parquet(path).filter(~F.col("key").startswith(_MARK))
+
+
+def update_ledger(spark, path: str, batch: DataFrame, batch_id: str | None = None) -> None:
+    """Apply a batch to the ledger stored at ``path``, touching only the batch's buckets.
+
+    With a ``batch_id`` every bucket keeps the mark of the batches it holds, in the same files as its
+    counts: a batch that is delivered again, or repeated after a failure half-way, is added only to
+    the buckets that do not hold it yet. Read such a ledger by ``read_ledger``.
+    """
     from folioframe.session import cut
 
     batch = cut(batch)
@@ -99,6 +116,14 @@ def update_ledger(spark, path: str, batch: DataFrame) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = empty_ledger(spark)
+    if batch_id is not None:
+        done = {r.bucket for r in old.filter(F.col("key") == _MARK + batch_id).select("bucket").collect()}
+        touched = [b for b in touched if b not in done]
+        batch = batch.filter(F.col("bucket").isin(touched))
+        if not touched:
+            return
+        marks = spark.createDataFrame([(_MARK + batch_id, 0, None, None, b) for b in touched], "key string, copies bigint, first_at timestamp_ntz, entry_id bigint, bucket int")
+        batch = batch.unionByName(marks)
     new = cut(merge_ledger(old.filter(F.col("bucket").isin(touched)), batch))
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 

@@ -54,6 +54,14 @@ def p6_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.collapsed(table(spark, sf_dir, "bib_entry"), untitled=True)
 
 
+def p6_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record once with its number of copies, counted in two batches: those loaded within a day, then the late ones."""
+    records = table(spark, sf_dir, "bib_entry")
+    late = F.coalesce(F.col("loaded_at") > F.col("added_at") + F.expr("INTERVAL 1 DAY"), F.lit(False))
+    first, second = (ledger.batch_counts(ledger.keyed(records.filter(c), untitled=True)) for c in (~late, late))
+    return ledger.merge_ledger(ledger.merge_ledger(ledger.empty_ledger(spark), first), second).select("entry_id", "copies", "first_at")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document."""
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
@@ -81,7 +89,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.join(documents, "doc_id").groupBy("subject_code", "source").agg(F.count("*").alias("n_documents"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_plain": p3_plain, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p6_all_counts": p6_all_counts, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_plain": p3_plain, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts, "p6_all_counts": p6_all_counts, "p6_incremental": p6_incremental, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _KEY = (
     "coalesce('=' || lower(regexp_replace(nfc_normalize({c}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')), '0')"
@@ -94,4 +102,4 @@ ORACLE = {
     "p6_found": f"WITH t AS ({_KEYED}) SELECT a.entry_id AS entry_a, b.entry_id AS entry_b FROM t a JOIN t b ON a.k = b.k AND a.entry_id < b.entry_id",
     "p6_counts": f"WITH t AS ({_KEYED}) SELECT (min_by(entry_id, (added_at, entry_id))) AS entry_id, count(*) AS copies, min(added_at) AS first_at FROM t GROUP BY k",
 }
-ORACLE["p6_all_counts"] = ORACLE["p6_counts"].replace(" WHERE title IS NOT NULL", "")
+ORACLE["p6_incremental"] = ORACLE["p6_all_counts"] = ORACLE["p6_counts"].replace(" WHERE title IS NOT NULL", "")

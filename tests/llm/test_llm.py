@@ -179,6 +179,9 @@ def test_proper_text_stays(value):
 
 
 def test_pages():
+    for t in ("H2O and CO2", "O157:H7", "I2C", "5l of milk"):
+        assert confusables.plain_text(t) == t
+    assert confusables.plain_text("in 19O4, l928") == "in 1904, 1928" and confusables.plain_text("a \u0140b") == "a l·b"
     assert confusables.plain_text("１2‐15", "pages") == "12-15" and confusables.plain_text("1–2", "pages") == "1–2" and confusables.plain_text("7O3-70l", "pages") == "703-701"
 
 
@@ -358,6 +361,20 @@ def test_incremental_ledger_equals_one_batch(spark, tmp_path):
     assert got == {(r.key, r.copies, r.entry_id) for r in whole.collect()}
 
 
+def test_a_batch_delivered_twice_counts_once(spark, tmp_path):
+    b = bib(spark, [("A", f"Title {i % 7}", "2020", None) for i in range(40)])
+    path, part = str(tmp_path / "ledger"), lambda lo, hi: ledger.batch_counts(ledger.keyed(b.filter(f"entry_id >= {lo} AND entry_id < {hi}")), 8)
+    for lo, hi, name in ((0, 20, "a"), (20, 40, "b"), (0, 20, "a"), (20, 40, "b")):
+        ledger.update_ledger(spark, path, part(lo, hi), name)
+    got = {(r.key, r.copies, r.entry_id) for r in ledger.read_ledger(spark, path).collect()}
+    assert got == {(r.key, r.copies, r.entry_id) for r in part(0, 40).collect()}
+
+
+def test_decomposed_syllables_are_copies(spark):
+    b = bib(spark, [("A", "\ud55c\uae00", "2020", None), ("A", "\u1112\u1161\u11ab\u1100\u1173\u11af", "2020", None), ("A", "\u212b", None, None), ("A", "\u00c5", None, None)])
+    assert {(r.entry_a, r.entry_b) for r in ledger.duplicate_pairs(b).collect()} == {(0, 1), (2, 3)}
+
+
 # ---- 7 tokens
 
 
