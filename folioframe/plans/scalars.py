@@ -40,7 +40,7 @@ def _(spark, sf):
 def _snap(n: int) -> str:
     head = f"array_to_string(list_slice({_W}, 1, {n}), ' ')"
     return (
-        f"SELECT doc_id, CASE WHEN len({_W}) <= {n} THEN NULL WHEN regexp_extract({head}, '(?s)^(.*[.!?])(\\s|$)', 1) <> '' THEN regexp_extract({head}, '(?s)^(.*[.!?])(\\s|$)', 1) ELSE {head} END AS head "
+        f"SELECT doc_id, CASE WHEN len({_W}) <= {n} THEN trim(text) WHEN regexp_extract({head}, '(?s)^(.*[.!?])(\\s|$)', 1) <> '' THEN regexp_extract({head}, '(?s)^(.*[.!?])(\\s|$)', 1) ELSE {head} END AS head "
         "FROM documents WHERE text IS NOT NULL"
     )
 
@@ -48,21 +48,21 @@ def _snap(n: int) -> str:
 @query("st_snap_head", _snap(40))
 def _(spark, sf):
     t = F.col("text")
-    return _docs(spark, sf).filter("text IS NOT NULL").select("doc_id", F.when(F.size(text.words(t)) > 40, text.head_sentences(t, 40)).alias("head"))
+    return _docs(spark, sf).filter("text IS NOT NULL").select("doc_id", text.head_sentences(t, 40).alias("head"))
 
 
 _TAIL = f"array_to_string(list_slice({_W}, -40, -1), ' ')"
 
 
-@query("st_snap_tail", f"SELECT doc_id, CASE WHEN len({_W}) <= 40 THEN NULL WHEN regexp_extract({_TAIL}, '(?s)^.*?[.!?]\\s+([A-Z].*)$', 1) <> '' THEN regexp_extract({_TAIL}, '(?s)^.*?[.!?]\\s+([A-Z].*)$', 1) ELSE {_TAIL} END AS tail FROM documents WHERE text IS NOT NULL")
+@query("st_snap_tail", f"SELECT doc_id, CASE WHEN len({_W}) <= 40 THEN trim(text) WHEN regexp_extract({_TAIL}, '(?s)^.*?[.!?]\\s+([A-Z].*)$', 1) <> '' THEN regexp_extract({_TAIL}, '(?s)^.*?[.!?]\\s+([A-Z].*)$', 1) ELSE {_TAIL} END AS tail FROM documents WHERE text IS NOT NULL")
 def _(spark, sf):
     t = F.col("text")
-    return _docs(spark, sf).filter("text IS NOT NULL").select("doc_id", F.when(F.size(text.words(t)) > 40, text.tail_sentences(t, 40)).alias("tail"))
+    return _docs(spark, sf).filter("text IS NOT NULL").select("doc_id", text.tail_sentences(t, 40).alias("tail"))
 
 
-@query("st_key_pages", "SELECT doc_id, CASE WHEN n <= 0 THEN '' WHEN n <= 5 THEN array_to_string(range(1, n + 1), ',') ELSE array_to_string([1, 2, 3, n - 1, n], ',') END AS pages FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) % 9 AS n FROM documents)")
+@query("st_key_pages", "SELECT doc_id, CASE WHEN n <= 0 THEN '' WHEN n <= 5 THEN array_to_string(range(1, n + 1), ',') ELSE array_to_string([1, 2, 3, n - 1, n], ',') END AS pages FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)")
 def _(spark, sf):
-    n = (F.size(F.split(F.coalesce("text", F.lit("")), "\n")) % 9).cast("int")
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
     return _docs(spark, sf).select("doc_id", F.array_join(F.transform(text.key_pages(n), lambda x: x.cast("string")), ",").alias("pages"))
 
 
@@ -228,7 +228,7 @@ def _(spark, sf):
 def _to_fill(spark, sf):
     """Records with a catalogue DOI by number, so that both ways of looking up are taken."""
     b, w = table(spark, sf, "bib_entry"), table(spark, sf, "catalogue_work")
-    doi = w.select((F.col("work_id") % 1000 + 1_000_000_000).alias("entry_id"), "doi").groupBy("entry_id").agg(F.min("doi").alias("doi"))
+    doi = w.select((F.col("work_id") % 1_000_000_000 + 1_000_000_000).alias("entry_id"), "doi").groupBy("entry_id").agg(F.min("doi").alias("doi"))
     j = b.join(doi, "entry_id", "left")
     keys = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in (("title", "title"), ("author", "author"), ("date", "entry_date"), ("pages", "pages"), ("doi", "doi")))), lambda x: x["value"].isNotNull()))
     return j.select(F.col("entry_id").alias("id"), "etype", keys.alias("f"))
@@ -239,7 +239,7 @@ def _filled(spark, sf):
 
 
 _FILL = (
-    "WITH d AS (SELECT work_id % 1000 + 1000000000 AS entry_id, min(doi) AS doi FROM catalogue_work GROUP BY 1), e AS (SELECT b.*, d.doi FROM bib_entry b LEFT JOIN d USING (entry_id)), "
+    "WITH d AS (SELECT work_id % 1000000000 + 1000000000 AS entry_id, min(doi) AS doi FROM catalogue_work GROUP BY 1), e AS (SELECT b.*, d.doi FROM bib_entry b LEFT JOIN d USING (entry_id)), "
     r"w AS (SELECT doi, trim(regexp_replace(lower(title[1]), '[^\p{L}\p{N} ]', '', 'g')) AS k, author, published_print.date_parts[1][1] AS y, volume, issue AS number, "
     r"trim(regexp_replace(page, '\s*[-–—]{1,2}\s*', '-', 'g')) AS pages, publisher, container_title[1] AS journaltitle FROM catalogue_work), "
     r"c AS (SELECT e.entry_id, min(w.doi) AS doi FROM e JOIN w ON trim(regexp_replace(lower(e.title), '[^\p{L}\p{N} ]', '', 'g')) = w.k AND w.k <> '' "
@@ -368,10 +368,14 @@ def _(spark, sf):
     return table(spark, sf, "bib_field").select(F.col("field_key").alias("key")).distinct().join(tok, "key", "left_anti")
 
 
-@query("u_symmetric_difference", "(SELECT entry_id, field_key FROM bib_field WHERE entry_id % 3 = 0 GROUP BY ALL EXCEPT SELECT entry_id, field_key FROM bib_field WHERE entry_id % 5 = 0 GROUP BY ALL) UNION ALL (SELECT entry_id, field_key FROM bib_field WHERE entry_id % 5 = 0 GROUP BY ALL EXCEPT SELECT entry_id, field_key FROM bib_field WHERE entry_id % 3 = 0 GROUP BY ALL)")
+@query(
+    "u_symmetric_difference",
+    DUCK + "(SELECT entry_id, key AS field_key FROM lib EXCEPT SELECT entry_id, field_key FROM bib_field) UNION ALL (SELECT entry_id, field_key FROM bib_field EXCEPT SELECT entry_id, key FROM lib)",
+)
 def _(spark, sf):
-    f = table(spark, sf, "bib_field").select("entry_id", "field_key").distinct()
-    a, b = f.filter("entry_id % 3 = 0"), f.filter("entry_id % 5 = 0")
+    """Fields of the library as delivered and as worked on that only one of the two has."""
+    a = lib_fields(spark, sf).select("entry_id", F.col("key").alias("field_key")).distinct()
+    b = table(spark, sf, "bib_field").select("entry_id", "field_key").distinct()
     return a.exceptAll(b).unionAll(b.exceptAll(a))
 
 
