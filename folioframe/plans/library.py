@@ -57,7 +57,18 @@ def _(spark, sf):
     return scan.tiles(docs, scan.scan_documents(docs))
 
 
-@query("p_entry_offsets")
+#: Where the text puts every entry and what stands between: three characters before a field, five around its value, two line feeds between entries.
+_OFFSETS = (
+    "t AS (SELECT path || '#' || CAST(entry_ord // 500 AS VARCHAR) AS doc, entry_ord, citekey, length(etype) + length(citekey) + 3 + f.n AS len FROM m JOIN (SELECT entry_id, sum(length(name) + length(value) + 8) AS n FROM lib GROUP BY 1) f USING (entry_id)), "
+    "p AS (SELECT doc, citekey, len, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY doc) AS k, sum(len + 2) OVER w - len - 2 AS s FROM t WINDOW w AS (PARTITION BY doc ORDER BY entry_ord)) "
+)
+
+
+@query(
+    "p_entry_offsets",
+    DUCK.rstrip() + ", " + _OFFSETS + "SELECT doc, CAST(2 * i AS INTEGER) AS ord, 'entry' AS kind, citekey, CAST(s AS INTEGER) AS start, CAST(s + len AS INTEGER) AS \"end\" FROM p "
+    "UNION ALL SELECT doc, CAST(2 * i + 1 AS INTEGER), 'opaque', NULL, CAST(s + len AS INTEGER), CAST(s + len + CASE WHEN i = k - 1 THEN 1 ELSE 2 END AS INTEGER) FROM p",
+)
 def _(spark, sf):
     return lib_scanned(spark, sf).select("doc", "ord", "kind", "citekey", "start", "end")
 
