@@ -18,12 +18,17 @@ def words(s: Column) -> Column:
     return F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")
 
 
+def trimmed(s: Column) -> Column:
+    """Without the spaces of any kind at both ends, as SQL's ``trim`` has it in DuckDB; line feeds and tabs stay."""
+    return F.regexp_replace(s, r"^\p{Zs}++|(?<!\p{Zs})\p{Zs}++\z", "")
+
+
 def head_sentences(s: Column, n: int) -> Column:
     """The first ``n`` words, cut after the last sentence end among them; all of a shorter text."""
     w = words(s)
     head = F.array_join(F.slice(w, 1, n), " ")
     cut = F.regexp_extract(head, r"(?s)^(.*[.!?])(?:\s|$)", 1)
-    return F.when(F.size(w) <= n, F.trim(s)).when(cut != "", cut).otherwise(head)
+    return F.when(F.size(w) <= n, trimmed(s)).when(cut != "", cut).otherwise(head)
 
 
 def tail_sentences(s: Column, n: int) -> Column:

@@ -4,9 +4,11 @@ import json
 import re
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 import bench
 from folioframe.functions import latex, markdown, text
 from folioframe.operators import gates, normalize, patch, render, scan
@@ -97,3 +99,15 @@ def test_patches_keep_their_order(spark, tmp_path):
 def test_normaliser_protects(spark, field, counts):
     one = lambda v: scan.scan_documents(spark.createDataFrame([("d", f"@book{{k,\n\t{field} = {{{v}}}}}")], "doc string, text string"))
     assert (gates.protected_changed(one("a"), one("b")).count() > 0) == counts
+
+
+SPACED = ["\xa0", " \u3000a b\u2003", "\ta\n", "\xa0\n\xa0", "a", "", " \xa0 ", "a\xa0" * 30 + " "]
+
+
+@pytest.mark.parametrize("name", ["st_snap_head"])
+def test_short_texts_lose_spaces_of_any_kind(spark, tmp_path, name):
+    con = duckdb.connect()
+    spark.createDataFrame(list(enumerate(SPACED)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(entry.oracle_sql()[name]).fetchall())
