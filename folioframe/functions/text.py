@@ -36,7 +36,7 @@ def tail_sentences(s: Column, n: int) -> Column:
     w = words(s)
     tail = F.array_join(F.slice(w, -n, n), " ")
     cut = F.regexp_extract(tail, r"(?s)^.*?[.!?]\s+([A-Z].*)$", 1)
-    return F.when(F.size(w) <= n, F.trim(s)).when(cut != "", cut).otherwise(tail)
+    return F.when(F.size(w) <= n, trimmed(s)).when(cut != "", cut).otherwise(tail)
 
 
 def key_pages(n: Column) -> Column:

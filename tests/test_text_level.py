@@ -104,7 +104,7 @@ def test_normaliser_protects(spark, field, counts):
 SPACED = ["\xa0", " \u3000a b\u2003", "\ta\n", "\xa0\n\xa0", "a", "", " \xa0 ", "a\xa0" * 30 + " "]
 
 
-@pytest.mark.parametrize("name", ["st_snap_head"])
+@pytest.mark.parametrize("name", ["st_snap_head", "st_snap_tail"])
 def test_short_texts_lose_spaces_of_any_kind(spark, tmp_path, name):
     con = duckdb.connect()
     spark.createDataFrame(list(enumerate(SPACED)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
