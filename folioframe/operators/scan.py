@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from folioframe.schema import SCANNED
 
@@ -20,6 +22,8 @@ _HEAD = re.compile(r"^@([A-Za-z]+)\s*\{", re.M)
 _EVENT = re.compile(r'\\.?|[{}",]', re.S)
 _NAME = re.compile(r"\s*([A-Za-z][A-Za-z0-9_+:-]*)\s*=\s*")
 OPAQUE = frozenset(("comment", "preamble", "string"))
+#: Rows, and characters of their text, that leave the scanner at once.
+BLOCK_ROWS, BLOCK_CHARS = 500, 1_000_000
 
 
 def _body(text: str, at: int, stop: int | None = None) -> tuple[int | None, list[int]]:
@@ -56,25 +60,35 @@ def _value(text: str, start: int, end: int) -> tuple[int, int]:
 
 def scan(text: str) -> list[dict]:
     """Entries and opaque spans of a document, in order."""
-    rows: list[dict] = []
-    pos = 0
+    return list(spans(text))
+
+
+def spans(text: str) -> Iterator[dict]:
+    """The rows of ``scan`` one by one, so that a document's rows need never be in memory together."""
+    for i, row in enumerate(_spans(text)):
+        row["ord"] = i
+        yield row
+
 
-    def opaque(a: int, b: int) -> None:
-        if b > a:
-            rows.append({"kind": "opaque", "etype": None, "citekey": None, "start": a, "end": b, "fields": []})
+def _opaque(a: int, b: int) -> Iterator[dict]:
+    if b > a:
+        yield {"kind": "opaque", "etype": None, "citekey": None, "start": a, "end": b, "fields": []}
 
+
+def _spans(text: str) -> Iterator[dict]:
+    pos = 0
     for head in _HEAD.finditer(text):
         if head.start() < pos:
             continue
-        opaque(pos, head.start())
+        yield from _opaque(pos, head.start())
         brace = head.end() - 1
         close, commas = _body(text, brace)
         if close is None:
-            opaque(head.start(), len(text))
-            return _numbered(rows)
+            yield from _opaque(head.start(), len(text))
+            return
         etype = head[1].lower()
         if etype in OPAQUE:
-            opaque(head.start(), close + 1)
+            yield from _opaque(head.start(), close + 1)
         else:
             cuts = [*commas, close]
             fields = []
@@ -83,27 +97,36 @@ def scan(text: str) -> list[dict]:
                 if m:
                     vs, ve = _value(text, m.end(), b)
                     fields.append({"ord": len(fields), "name": m[1], "key": m[1].lower(), "value": text[vs:ve], "lead": text[a + 1 : m.start(1)], "start": a + 1, "end": b, "vstart": vs, "vend": ve})
-            rows.append({"kind": "entry", "etype": etype, "citekey": text[brace + 1 : cuts[0]].strip(), "start": head.start(), "end": close + 1, "fields": fields})
+            yield {"kind": "entry", "etype": etype, "citekey": text[brace + 1 : cuts[0]].strip(), "start": head.start(), "end": close + 1, "fields": fields}
         pos = close + 1
-    opaque(pos, len(text))
-    return _numbered(rows)
+    yield from _opaque(pos, len(text))
 
 
-def _numbered(rows: list[dict]) -> list[dict]:
-    for i, r in enumerate(rows):
-        r["ord"] = i
-    return rows
+def blocks(rows: Iterator[dict]) -> Iterator[list[dict]]:
+    """Rows in lists of at most ``BLOCK_ROWS`` rows that end at ``BLOCK_CHARS`` characters of text."""
+    block, chars = [], 0
+    for r in rows:
+        block.append(r)
+        chars += r["end"] - r["start"]
+        if len(block) == BLOCK_ROWS or chars >= BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+    if block:
+        yield block
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
     """Scanned rows of documents (doc, text); a null text gives none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{"doc": d, **r} for d, t in zip(b["doc"], b["text"]) if t is not None for r in scan(t)]
-            yield pd.DataFrame(rows, columns=["doc", "kind", "ord", "etype", "citekey", "start", "end", "fields"])
+    schema = to_arrow_schema(_parse_datatype_string(SCANNED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch holds the texts of many documents: one text is read at a time, and its rows leave in blocks
+        rows = ({"doc": b["doc"][i].as_py(), **r} for b in batches for i in range(len(b)) if b["text"][i].is_valid for r in spans(b["text"][i].as_py()))
+        for block in blocks(rows):
+            yield pa.RecordBatch.from_pylist(block, schema)
 
-    return docs.select("doc", "text").mapInPandas(run, SCANNED)
+    return docs.select("doc", "text").mapInArrow(run, SCANNED)
 
 
 def entries(scanned: DataFrame) -> DataFrame:

@@ -111,3 +111,29 @@ def test_short_texts_lose_spaces_of_any_kind(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_scanner_holds_a_block_of_rows(spark, monkeypatch):
+    # the rows of a batch of documents, and of one long document, leave in blocks: executors had all of them in memory
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 10)
+    one = "".join(f"@a{{k{i},\n\tx = {{y}}}}\n" for i in range(100))
+    assert list(map(len, scan.blocks(scan.spans(one)))) == [10] * 20
+    assert [r for b in scan.blocks(scan.spans(one)) for r in b] == scan.scan(one)
+    monkeypatch.setattr(scan, "BLOCK_CHARS", 20)
+    assert all(sum(r["end"] - r["start"] for r in b[:-1]) < 20 for b in scan.blocks(scan.spans(one)))
+    docs = spark.createDataFrame([("d", one), ("n", None), ("e", ""), ("f", "stray")], "doc string, text string")
+    got = scan.scan_documents(docs).orderBy("doc", "ord").collect()
+    assert [{k: v for k, v in r.asDict(True).items() if k != "doc"} for r in got if r.doc == "d"] == [{k: r[k] for k in ("kind", "ord", "etype", "citekey", "start", "end", "fields")} for r in scan.scan(one)]
+    assert [(r.doc, r.kind) for r in got if r.doc != "d"] == [("f", "opaque")]
+
+
+def test_long_document_is_scanned_in_little_memory():
+    import tracemalloc
+
+    text_ = "".join(f"@a{{k{i},\n\tx = {{y}},\n\tz = {{w}}}}\n" for i in range(20_000))
+    tracemalloc.start()
+    try:
+        assert sum(map(len, scan.blocks(scan.spans(text_)))) == 40_000
+        assert tracemalloc.get_traced_memory()[1] < 3_000_000
+    finally:
+        tracemalloc.stop()
