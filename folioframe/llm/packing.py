@@ -4,8 +4,9 @@ Documents are hashed into groups of bounded size, and every (specification, grou
 own: items in order of decreasing size go to the open container whose free space is the smallest
 that fits. Open containers are kept by free space; a bit set over the free spaces gives the
 successor of a size, and the search moves on until the tightest *compatible* container is found.
-A container carries a bitmap of its duplicate clusters and one of its sources: a cluster that is
-already in the container is a conflict, a source that is already there only loses a tie.
+Bitmaps over the containers say which have a duplicate cluster and which a source: a cluster that is
+already in the container is a conflict, a source that is already there only loses a tie. All
+containers of equal free space take part in a tie.
 
 A cluster with more copies than the group's tokens fill containers could not be spread without
 leaving them empty; its copies may then stand as often in one container as an even spread takes.
@@ -30,8 +31,6 @@ from folioframe.llm.tokenise import count_column
 
 #: Documents of a group.
 GROUP_DOCUMENTS = 50_000
-#: Containers of equal free space among which one without the item's source is looked for.
-SAME_FREE = 8
 
 SCHEMA = "spec_id int, container_id bigint, doc_id bigint, piece_no int, n_tokens int"
 
@@ -42,22 +41,21 @@ class Containers:
     def __init__(self, capacity: int) -> None:
         self.capacity = capacity
         self.free: list[int] = []
-        self.clusters: list[int] = []  # bitmaps
-        self.sources: list[int] = []
         self.copies: dict[tuple[int, int], int] = {}
-        self.at: dict[int, dict[int, None]] = {}  # free space -> containers, in the order of arrival
+        # bitmaps of containers: by free space, by source, and those that have all they may have of a cluster
+        self.at: dict[int, int] = {}
+        self.sources: dict[int, int] = {}
+        self.full: dict[int, int] = {}
         self.some = 0  # bit per free space that some container has
 
     def open(self) -> int:
         b = len(self.free)
         self.free.append(self.capacity)
-        self.clusters.append(0)
-        self.sources.append(0)
         self._put(b, self.capacity)
         return b
 
     def _put(self, b: int, free: int) -> None:
-        self.at.setdefault(free, {})[b] = None
+        self.at[free] = self.at.get(free, 0) | 1 << b
         self.some |= 1 << free
 
     def successor(self, size: int) -> int | None:
@@ -65,23 +63,29 @@ class Containers:
         m = self.some >> size
         return size + (m & -m).bit_length() - 1 if m else None
 
-    def add(self, b: int, size: int, cluster: int | None, source: int) -> None:
+    def add(self, b: int, size: int, cluster: int | None, limit: int, source: int) -> None:
         old = self.free[b]
-        del self.at[old][b]
+        self.at[old] ^= 1 << b
         if not self.at[old]:
             del self.at[old]
             self.some &= ~(1 << old)
         self.free[b] = old - size
         self._put(b, old - size)
         if cluster is not None:
-            self.clusters[b] |= 1 << cluster
-            self.copies[b, cluster] = self.copies.get((b, cluster), 0) + 1
-        self.sources[b] |= 1 << source
+            n = self.copies[b, cluster] = self.copies.get((b, cluster), 0) + 1
+            if n >= limit:
+                self.full[cluster] = self.full.get(cluster, 0) | 1 << b
+        self.sources[source] = self.sources.get(source, 0) | 1 << b
 
-    def fits(self, b: int, cluster: int | None, limit: int) -> bool:
-        if cluster is None or not self.clusters[b] >> cluster & 1:
-            return True
-        return self.copies[b, cluster] < limit
+    def fits(self, free: int, cluster: int | None) -> int:
+        """All containers with that free space but those that have the cluster as often as it may stand there."""
+        here = self.at.get(free, 0)
+        return here if cluster is None else here & ~self.full.get(cluster, 0)
+
+    def first(self, among: int, source: int) -> int:
+        """The container opened first of those without the source, or of all if each has it."""
+        m = among & ~self.sources.get(source, 0) or among
+        return (m & -m).bit_length() - 1
 
     def place(self, size: int, cluster: int | None, limit: int, sources: list[int]) -> list[int]:
         """Containers of equal items, one per source in ``sources``; new ones are opened as needed."""
@@ -90,25 +94,16 @@ class Containers:
             got = len(out)
             r = self.successor(size)
             while r is not None and len(out) < len(sources):
-                again = False
-                here = list(self.at[r])
-                if cluster is None:
-                    src = sources[len(out)]
-                    b = next((x for x in here[:SAME_FREE] if not self.sources[x] >> src & 1), here[0])
-                    self.add(b, size, None, src)
+                m = self.fits(r, cluster)
+                while m and len(out) < len(sources):
+                    b = self.first(m, sources[len(out)])
+                    self.add(b, size, cluster, limit, sources[len(out)])
                     out.append(b)
-                    again = True
-                else:
-                    for b in here:
-                        if len(out) == len(sources):
-                            break
-                        if self.fits(b, cluster, limit):
-                            self.add(b, size, cluster, sources[len(out)])
-                            out.append(b)
-                r = self.successor(size) if again else self.successor(r + 1)
+                    m = 0 if cluster is None else m ^ 1 << b  # what is left of the container may be the tightest for the next item
+                r = self.successor(size) if cluster is None else self.successor(r + 1)
             if len(out) == got:  # no compatible container is left
                 b = self.open()
-                self.add(b, size, cluster, sources[len(out)])
+                self.add(b, size, cluster, limit, sources[len(out)])
                 out.append(b)
         return out
 

@@ -425,6 +425,23 @@ def test_copies_are_spread_and_space_is_used():
     assert len({b for b, *_ in hot}) == 200
 
 
+@pytest.mark.parametrize("cluster", [500, 7])
+@pytest.mark.parametrize("n", [5, 12, 200])
+def test_source_is_spread_over_all_containers_of_equal_space(n, cluster):
+    # all but the last container have the source; a tie was decided among the first eight
+    items = [(i, 60, 100 + i, int(i == n - 1)) for i in range(n)] + [(1000, 40, cluster, 0), (1001, 30, 7, 1)]
+    box = {doc: b for b, doc, _, _ in packing.pack(items, 100)}
+    assert box[1000] == box[n - 1] and len(box) == n + 2
+
+
+def test_no_copy_of_a_cluster_is_dropped():
+    # copies beyond the even spread open containers
+    items = [(i, 99, 1000 + i, 0) for i in range(3)] + [(100 + i, 2, 7, 0) for i in range(500)]
+    out = packing.pack(items, 100)
+    assert sorted(doc for _, doc, _, _ in out) == sorted(i[0] for i in items)
+    assert max(Counter(b for b, doc, _, _ in out if doc >= 100).values()) <= -(-500 // -(-(297 + 1000) // 100))
+
+
 def test_containers_table(spark):
     d = spark.createDataFrame([(1, None, "s", "g"), (2, "", "s", "g"), (3, "word " * 300, None, "g"), (4, "a b", "s", "g"), (5, "a  b", "s", "g")], "doc_id bigint, text string, source string, grp string")
     spec = spark.createDataFrame([(1, "byte_bpe_50k", 64), (2, "byte_bpe_50k", 0)], "spec_id int, tokenizer string, capacity_tokens int")
