@@ -3,12 +3,14 @@
 import json
 import os
 import plistlib
+import re
 import time
 
 from pyspark.sql import functions as F
 
 from folioframe.functions import text, web
 from folioframe.operators import resolve, score
+from folioframe.session import cut
 from folioframe.sources import files, providers, sinks
 from folioframe.streaming import ingest
 
@@ -126,3 +128,17 @@ def test_lookup_prefers_doi(spark):
     looked = resolve.lookup(e, w)
     assert {r.id: r.match_method for r in looked.collect()} == {1: "doi", 2: "title", 3: None, 4: None}
     assert {(r.id, r.key, r.value, r.source) for r in resolve.filled(looked).collect()} == {(1, "volume", "2", "catalogue/doi"), (2, "volume", "1", "catalogue/title"), (2, "publisher", "P", "catalogue/title")}
+
+
+def test_shuffle_files_of_what_is_written_are_let_go(spark):
+    # they stayed until the driver happened to collect its garbage, and counted as disk of all later steps
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+", disk.getAllFiles().mkString(" ")))
+    before = shuffles()
+    written = cut(spark.range(1000).repartition(7, "id"))
+    cut(spark.range(10))
+    until = time.time() + 10
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert written.count() == 1000
