@@ -232,6 +232,14 @@ def test_linkage_empty(spark):
     assert linkage.matches(spark, bib(spark, []), spark.createDataFrame([], WORK)).count() == 0
 
 
+def test_the_model_is_trained_on_all_nodes(spark, monkeypatch):
+    # it was fitted on a sample of 40,000
+    seen = []
+    monkeypatch.setattr(linkage, "walks", lambda nodes: seen.append(nodes.count()) or spark.createDataFrame([], "walk bigint, sentence array<string>"))
+    assert linkage.train(spark.range(50_000).selectExpr("id", "array('t:x') AS toks")) == {}
+    assert seen == [50_000]
+
+
 def test_recall_against_brute_force(spark):
     b, w = spark.read.parquet("/root/testdata/sf0.01/bib_entry.parquet"), spark.read.parquet("/root/testdata/sf0.01/catalogue_work.parquet")
     found = {(r.entry_id, r.work_id) for r in linkage.matches(spark, b, w).collect()}
