@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,11 +12,31 @@ def entry_text(etype: Column, citekey: Column, fields: Column) -> Column:
     return F.concat(F.lit("@"), etype, F.lit("{"), citekey, lines, F.lit("}\n"))
 
 
+def _placed(entries: DataFrame, per_document: int) -> DataFrame:
+    """(doc, entry_ord, t) of entries (path, entry_ord, etype, citekey, fields)."""
+    block = F.floor(F.col("entry_ord") / per_document).cast("int")
+    return entries.select(F.concat_ws("#", "path", block.cast("string")).alias("doc"), "entry_ord", entry_text(F.col("etype"), F.col("citekey"), F.col("fields")).alias("t"))
+
+
+def _joined() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_ord", "t"))), lambda x: x["t"]), "\n").alias("text")
+
+
 def documents(entries: DataFrame, per_document: int = 500) -> DataFrame:
     """(doc, text) of entries (path, entry_ord, etype, citekey, fields): blocks of a path, so no document grows with its path."""
-    block = F.floor(F.col("entry_ord") / per_document).cast("int")
-    rows = entries.select(F.concat_ws("#", "path", block.cast("string")).alias("doc"), "entry_ord", entry_text(F.col("etype"), F.col("citekey"), F.col("fields")).alias("t"))
-    return rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_ord", "t"))), lambda x: x["t"]), "\n").alias("text"))
+    return _placed(entries, per_document).groupBy("doc").agg(_joined())
+
+
+def pieces(entries: DataFrame, per_document: int = 500) -> DataFrame:
+    """``documents``, of which those with more than ``per_document`` entries are cut into pieces with a number behind the name.
+
+    Only where several entries stand at one place of a path is there more than one piece; without them such a
+    document grows with the number of its copies, and an executor holds it whole, as rows and as text.
+    """
+    w = Window.partitionBy("doc").orderBy("entry_ord", "t")
+    piece = F.floor((F.row_number().over(w) - 1) / per_document).cast("int")
+    cut = _placed(entries, per_document).withColumn("piece", piece).groupBy("doc", "piece").agg(_joined())
+    return cut.select(F.concat_ws(".", "doc", F.when(F.col("piece") > 0, F.col("piece").cast("string"))).alias("doc"), "text")
 
 
 def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

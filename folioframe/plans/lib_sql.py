@@ -67,8 +67,8 @@ def lib_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lib_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The library's text, scanned."""
-    return scan.scan_documents(lib_documents(spark, sf_dir))
+    """The library's text in pieces of bounded length, scanned."""
+    return scan.scan_documents(render.pieces(lib_entries(spark, sf_dir)))
 
 
 def lib_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,8 @@ _OFFSETS = (
     "UNION ALL SELECT doc, CAST(2 * i + 1 AS INTEGER), 'opaque', NULL, CAST(s + len AS INTEGER), CAST(s + len + CASE WHEN i = k - 1 THEN 1 ELSE 2 END AS INTEGER) FROM p",
 )
 def _(spark, sf):
-    return lib_scanned(spark, sf).select("doc", "ord", "kind", "citekey", "start", "end")
+    # offsets are those in the whole document
+    return scan.scan_documents(lib_documents(spark, sf)).select("doc", "ord", "kind", "citekey", "start", "end")
 
 
 # ---- audit

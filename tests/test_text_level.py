@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 import bench
 from folioframe.functions import latex, markdown, text
 from folioframe.operators import gates, normalize, patch, render, scan
+from folioframe.plans import lib_sql
 from folioframe.sources import files
 
 DASHES = [
@@ -137,3 +138,30 @@ def test_long_document_is_scanned_in_little_memory():
         assert tracemalloc.get_traced_memory()[1] < 3_000_000
     finally:
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("name", ["p_field_map_lookup", "p_field_values", "f_missing_required", "f_forbidden_strip", "tx_top_level_colons", "tx_terminal_marks", "r_findings_by_rule"])
+def test_entries_at_one_place_are_scanned_in_pieces(spark, tmp_path, name):
+    # 1,200 entries at each of two places of a path were one document, held whole by an executor
+    entries = "range(2400) t(i)"
+    con = duckdb.connect()
+    con.execute(
+        "CREATE TABLE bib_entry AS SELECT i AS entry_id, 'a.bib' AS path, CAST(i % 2 AS INTEGER) AS entry_ord, 'article' AS etype, 'k' || (i % 7) AS citekey, "
+        f"CAST(NULL AS VARCHAR) AS author, 'On: things?' AS title, CAST(NULL AS VARCHAR) AS entry_date, '1--2' AS pages FROM {entries}"
+    )
+    con.execute(f"CREATE TABLE bib_field AS SELECT i AS entry_id, 1 AS field_ord, 'Title' AS field_name, 'On: things? ' || (i % 3) AS field_value FROM {entries} UNION ALL SELECT i, 2, 'pages', '1--2' FROM {entries}")
+    for t in ("bib_entry", "bib_field"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    each = lib_sql.lib_scanned(spark, str(tmp_path)).filter("kind = 'entry'").groupBy("doc").count().collect()
+    assert sum(r["count"] for r in each) == 2400 and max(r["count"] for r in each) <= 500 and {r.doc for r in each} == {"a.bib#0", *(f"a.bib#0.{i}" for i in range(1, 5))}
+    got = sorted(map(repr, map(tuple, entry.queries()[name](spark, str(tmp_path)).collect())))
+    assert got == sorted(map(repr, con.execute(entry.oracle_sql()[name]).fetchall()))
+
+
+def test_pieces_are_the_documents_where_places_differ(spark):
+    rows = [(f"p{i % 2}.bib", i, "book", f"k{i}", [("a", "b")]) for i in range(30)]
+    e = spark.createDataFrame(rows, "path string, entry_ord int, etype string, citekey string, fields array<struct<name:string,value:string>>")
+    assert sorted(render.pieces(e, 10).collect()) == sorted(render.documents(e, 10).collect())
+    whole = {r.doc: r.text for r in render.documents(e.withColumn("entry_ord", F.lit(0)), 10).collect()}
+    parts = render.pieces(e.withColumn("entry_ord", F.lit(0)), 10).orderBy("doc").collect()
+    assert {d: "\n".join(r.text for r in parts if r.doc.split(".bib")[0] == d.split(".bib")[0]) for d in whole} == whole
