@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from folioframe.operators.packed import first_name, packed_items
 from folioframe.session import cut
 from folioframe.llm import boilerplate, confusables, ledger, linkage, names, packing, subjects, tokenise
 
@@ -52,6 +53,20 @@ def test_query_runs(name, spark):
 # ---- 1 names
 
 
+def test_first_names_are_split_off_once(spark):
+    # the test for null was pushed below and split every field a second time
+    plan = names.first_names(bib(spark, [("Doe, Jane", "t", None, None)]), source(spark, []))._jdf.queryExecution().optimizedPlan()
+    filters = [line for line in plan.toString().split("\n") if "Filter" in line]
+    assert filters and not any("rlike" in line.lower() or "regexp_replace" in line for line in filters)
+    assert "rlike" in plan.toString().lower()
+
+
+def test_first_name_is_the_first_item(spark):
+    values = ["Doe, Jane", "Jane Doe", " ", "", ";", "\u2003; Doe, Jane", "\u2003", "{ }; Doe, Jane", '"" and Doe', "Doe\tand\tRoe", "'Doe, J'; 'Roe, K'", "Doe et al.", "{Doe; Roe} and Poe", "Doe, J., Roe, K.", "others", "Doe &Roe", "Jane Doe, Kim Roe", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", F.get(packed_items("v"), F.lit(0)).alias("a"), first_name("v").alias("b")).collect()
+    assert [(r.v, r.b) for r in rows] == [(r.v, r.a) for r in rows]
+
+
 def test_variants_are_linked_and_namesakes_are_not(spark):
     b = bib(spark, [
         ("Wexlerberg, Victoria and Poe, A.", "t", None, None), ("Victoria Wexlerberg", "t", None, None), ("Wexlreberg, Vicky", "t", None, None), ("Wexlerberg, V.", "t", None, None),
